@@ -1,8 +1,10 @@
 """Quality rules combined by weak supervision.
 
 Each rule looks at a few counts of a document and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over
-the votes of the whole corpus estimates how often each rule is right, and the posterior probability of the label "good"
-replaces the usual demand that every rule pass.
+the votes of all documents that pass the base rule estimates how often each rule casts each vote on good and on bad documents, and the posterior
+probability of the label "good" replaces the usual demand that every rule pass. A rule that looks for one defect votes good
+on most bad documents too; having an accuracy for each vote, the model takes its bad votes for strong evidence and its good
+ones for weak.
 
 Everything that touches documents is DataFrame functions. The model sees the corpus only as a histogram of vote patterns,
 of 3 ** len(RULES) rows at most whatever the input, which is why it may be fitted on the driver.
@@ -40,13 +42,16 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 0.002, 0.02),
+    Rule("symbol_words", "n_symbols", "n_words", 0.02, 0.1),
     Rule("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
     Rule("capitals", "n_capitals", "word_chars", 0.1, 0.4),
     Rule("shouting", "n_marks", "n_words", 0.02, 0.15),
     Rule("line_copies", "n_dup_lines", "n_lines", 0.05, 0.3),
     Rule("no_sentences", "n_words", "n_stops", 60.0, 200.0),
 )
-EM_ROUNDS, PRIOR, ACCURACY, SMOOTHING = 12, 0.7, 0.8, 4.0
+EM_ROUNDS, PRIOR, SMOOTHING = 20, 0.6, 10.0
+#: The shares of votes 1, 0 and -1 that estimation starts from, on good and on bad documents.
+VOTES, START = (1, 0, -1), ((0.9, 0.08, 0.02), (0.7, 0.1, 0.2))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,46 +93,43 @@ def vote(rule: Rule) -> Column:
     return F.when(top <= rule.good * bottom, 1).when(top >= rule.bad * bottom, -1).otherwise(0)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = EM_ROUNDS) -> tuple[float, list[float]]:
-    """Expectation-maximisation over a histogram of vote patterns: the share of good documents, and each rule's accuracy.
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = EM_ROUNDS) -> tuple[float, list[dict[int, float]]]:
+    """Expectation-maximisation over a histogram of vote patterns: a bias and, for each rule and vote, what it adds to the log odds of "good".
 
-    Smoothing keeps the estimates inside (0, 1) and at their starting values where no document votes.
+    Smoothing keeps the estimates inside (0, 1) and at their starting values where nothing votes.
     """
-    share, right = PRIOR, [ACCURACY] * n_rules
+    share, rates = PRIOR, [[dict(zip(VOTES, START[y], strict=True)) for _ in range(n_rules)] for y in (0, 1)]
     for _ in range(rounds):
-        good, total, agree, votes = 0.0, 0.0, [0.0] * n_rules, [0.0] * n_rules
+        bias, own = log_odds(share, rates)
+        total, found = [0.0, 0.0], [[dict.fromkeys(VOTES, 0.0) for _ in range(n_rules)] for _ in (0, 1)]
         for pattern, n in sorted(patterns):
-            p = posterior(pattern, share, right)
-            good, total = good + n * p, total + n
-            for j, v in enumerate(pattern):
-                if v:
-                    agree[j] += n * (p if v > 0 else 1 - p)
-                    votes[j] += n
-        share = (good + SMOOTHING * PRIOR) / (total + SMOOTHING)
-        right = [(agree[j] + SMOOTHING * ACCURACY) / (votes[j] + SMOOTHING) for j in range(n_rules)]
-    return share, right
+            good = 1 / (1 + math.exp(-(bias + sum(w[v] for w, v in zip(own, pattern, strict=True)))))
+            for y, p in enumerate((good, 1 - good)):
+                total[y] += n * p
+                for j, v in enumerate(pattern):
+                    found[y][j][v] += n * p
+        share = (total[0] + SMOOTHING * PRIOR) / (total[0] + total[1] + SMOOTHING)
+        rates = [[{v: (found[y][j][v] + SMOOTHING * START[y][k]) / (total[y] + SMOOTHING) for k, v in enumerate(VOTES)} for j in range(n_rules)] for y in (0, 1)]
+    return log_odds(share, rates)
 
 
-def weights(share: float, right: list[float]) -> tuple[float, list[float]]:
-    return math.log(share / (1 - share)), [math.log(a / (1 - a)) for a in right]
-
-
-def posterior(pattern: tuple[int, ...], share: float, right: list[float]) -> float:
-    bias, own = weights(share, right)
-    return 1 / (1 + math.exp(-(bias + sum(w * v for w, v in zip(own, pattern, strict=True)))))
+def log_odds(share: float, rates: list[list[dict[int, float]]]) -> tuple[float, list[dict[int, float]]]:
+    return math.log(share / (1 - share)), [{v: math.log(good[v] / bad[v]) for v in VOTES} for good, bad in zip(*rates, strict=True)]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, threshold: float = 0.5) -> DataFrame:
     """A row for each row of docs: its counts, base_failed, a vote_<rule> for each rule, posterior and kept.
 
     base_failed: fewer than min_words words, or over max_repeat_percent of them in repeated windows. Such documents are not kept
-    whatever the posterior; all documents vote when the rules' accuracies are estimated.
+    whatever the posterior, and take no part in the estimation, which would otherwise find just them again.
     """
     counts = stored(measure(docs, id_col, text_col))
     n, names = F.col("n_words"), [f"vote_{r.name}" for r in rules]
     voted = counts.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)).withColumns(dict(zip(names, map(vote, rules), strict=True)))
-    seen = [(tuple(r[k] for k in names), r["n"]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
-    bias, own = weights(*fit(seen, len(rules)))
-    log_odds = sum((F.col(k) * w for k, w in zip(names, own, strict=True)), F.lit(bias))
-    out = voted.withColumn("posterior", 1 / (1 + F.exp(-log_odds)))
+    seen = [(tuple(r[k] for k in names), r["n"]) for r in voted.filter(~F.col("base_failed")).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
+    bias, own = fit(seen, len(rules))
+    odds = F.lit(bias)
+    for k, w in zip(names, own, strict=True):
+        odds = odds + F.when(F.col(k) == 1, w[1]).when(F.col(k) == -1, w[-1]).otherwise(w[0])
+    out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

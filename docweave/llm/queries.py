@@ -56,12 +56,15 @@ def op9_sql() -> str:
         f"CASE WHEN {r.top}::DOUBLE <= {r.good!r} * greatest({r.bottom}, 1) THEN 1 WHEN {r.top}::DOUBLE >= {r.bad!r} * greatest({r.bottom}, 1) THEN -1 ELSE 0 END AS v{j}" for j, r in enumerate(rules)
     )
     names = ", ".join(f"v{j}" for j in range(len(rules)))
-    smooth, prior, accuracy = quality_rules.SMOOTHING, quality_rules.PRIOR, quality_rules.ACCURACY
-    odds = "ln(s / (1 - s)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in range(len(rules)))
-    steps = [f"m0 AS (SELECT {prior!r}::DOUBLE AS s, " + ", ".join(f"{accuracy!r}::DOUBLE AS a{j}" for j in range(len(rules))) + ")"]
+    smooth, prior, start = quality_rules.SMOOTHING, quality_rules.PRIOR, quality_rules.START
+    each = [(y, j, k, v) for y in (0, 1) for j in range(len(rules)) for k, v in enumerate(quality_rules.VOTES)]
+    odds = "ln(s / (1 - s)) + " + " + ".join(f"CASE v{j} WHEN 1 THEN ln(g{j}_0 / b{j}_0) WHEN 0 THEN ln(g{j}_1 / b{j}_1) ELSE ln(g{j}_2 / b{j}_2) END" for j in range(len(rules)))
+    steps = [f"m0 AS (SELECT {prior!r}::DOUBLE AS s, " + ", ".join(f"{start[y][k]!r}::DOUBLE AS {'gb'[y]}{j}_{k}" for y, j, k, _ in each) + ")"]
     for i in range(quality_rules.EM_ROUNDS):
-        right = ", ".join(f"(sum(CASE v{j} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) ELSE 0 END) + {smooth * accuracy!r}) / (sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + {smooth!r}) AS a{j}" for j in range(len(rules)))
-        steps.append(f"m{i + 1} AS (SELECT (sum(n * p) + {smooth * prior!r}) / (sum(n) + {smooth!r}) AS s, {right} FROM (SELECT seen.*, 1 / (1 + exp(-({odds}))) AS p FROM seen, m{i}))")
+        rates = ", ".join(
+            f"(coalesce(sum(CASE v{j} WHEN {v} THEN n * {('p', '(1 - p)')[y]} ELSE 0 END), 0) + {smooth * start[y][k]!r}) / (coalesce(sum(n * {('p', '(1 - p)')[y]}), 0) + {smooth!r}) AS {'gb'[y]}{j}_{k}" for y, j, k, v in each
+        )
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT (coalesce(sum(n * p), 0) + {smooth * prior!r}) / (coalesce(sum(n), 0) + {smooth!r}) AS s, {rates} FROM (SELECT seen.*, 1 / (1 + exp(-({odds}))) AS p FROM seen, m{i}))")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -76,9 +79,9 @@ c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
   length(t) - length(replace(t, '!', '')) AS n_marks, length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) AS n_stops
   FROM w LEFT JOIN rep USING (r)),
-voted AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+voted AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   {votes} FROM c),
-seen AS (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
+seen AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM voted WHERE NOT base_failed GROUP BY ALL),
 {", ".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept
