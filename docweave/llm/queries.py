@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, line_dedup, quality_rules, tokens
+from docweave.llm import bpe, line_dedup, near_duplicates, quality_rules, tokens
 from docweave.llm.common import table
 
 
@@ -44,6 +44,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(table(spark, sf_dir, "documents"), words=3, percent=90).withColumnRenamed("_doc", "doc_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS r, doc_id AS d FROM s UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.d = links.a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(reach.d) AS component_id FROM s JOIN reach ON s.doc_id = reach.r GROUP BY s.doc_id, g
+"""
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -90,8 +109,8 @@ FROM voted, m{quality_rules.EM_ROUNDS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_tree_bpe, op7_token_counts, op9_weak_supervision)}
+    return {f.__name__: f for f in (op3_line_dedup, op5_tree_bpe, op7_token_counts, op8_ngram_jaccard, op9_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op9_weak_supervision": op9_sql()}
+    return {"op3_line_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_weak_supervision": op9_sql()}
