@@ -7,6 +7,7 @@ row (error, skip) the first counts, and it hides the later ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -152,10 +153,11 @@ def verdict(events: Column) -> Column:
     return F.get(F.filter(events, lambda e: e["kind"].isin("E", "S")), F.lit(0))["kind"]
 
 
-def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFrame, catalog: Catalog | None = None, namespace: str = NAMESPACE, after=None, sequences: dict[str, int] | None = None, every_error: bool = False) -> Compiled:
+def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFrame, catalog: Catalog | None = None, namespace: str = NAMESPACE, after=None, sequences: dict[str, int] | None = None, every_error: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Compiled:
     """The frames of an entity. `after` resumes behind that _id; `sequences` has the first number for each table that counts.
 
-    With every_error all events of a row are kept, as a dry run reports them, and not only those up to the first that ends it.
+    `keep` is applied to each level's resolved rows, which several frames start from: a load writes and rereads them there, so that
+    sources are read once and random ids are drawn once. With every_error all events of a row are kept, as a dry run reports them, and not only those up to the first that ends it.
     """
     sequences = sequences or {}
     docs = as_document(source)
@@ -191,6 +193,7 @@ def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFra
     if entity.id_strategy.type == "int_sequence":
         # Numbers are taken in the order of _id, by documents that end up skipped as well.
         rows = with_sequence(rows.drop("_new"), ["_oid"], "_new", sequences.get(entity.target, 1)).withColumn("_new", F.col("_new").cast("string"))
+    rows = keep(rows)
     alive = rows.filter("_end is null")
     id_column = level.column(entity.id_strategy.target_field)
     own = cast_key(F.col("_new"), id_column).alias(entity.id_strategy.target_field)
@@ -199,7 +202,7 @@ def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFra
     all_events = [rows.select(F.lit(entity.target).alias("table"), F.col("_sid").alias("source_id"), F.posexplode("_events").alias("place", "_e")).select("table", "source_id", "_e.field", "_e.kind", "_e.message", "place")]
     for n, spec in entity.explode.items():
         parents = alive.select("_sid", F.col("_new").alias("_parent"), F.col(f"_items_{n}").alias("_items"))
-        explode_level(spec, f"{n}.", parents, id_map, catalog, namespace, sequences, out, all_events, every_error)
+        explode_level(spec, f"{n}.", parents, id_map, catalog, namespace, sequences, out, all_events, every_error, keep)
     for n, spec in entity.junction.items():
         pairs = alive.select("_sid", F.col("_new").alias("_parent"), F.explode(f"_items_{n}").alias("_item"))
         item = value(F.col("_item"), arrays[n])
@@ -236,7 +239,7 @@ def cast_key(text: Column, column: ColumnDef | None) -> Column:
     return text if column is None or isinstance(column.spark, T.StringType) else text.try_cast(column.spark)
 
 
-def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFrame, catalog: Catalog | None, namespace: str, sequences: dict[str, int], out: Compiled, events: list[DataFrame], every_error: bool) -> None:
+def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFrame, catalog: Catalog | None, namespace: str, sequences: dict[str, int], out: Compiled, events: list[DataFrame], every_error: bool, keep: Callable[[DataFrame], DataFrame]) -> None:
     """Rows of one embedded array, and of those within it. A skipped item takes what is below it along."""
     table = catalog[spec.target] if catalog else None
     items = parents.select("_sid", "_parent", F.explode("_items").alias("_item"))
@@ -256,10 +259,11 @@ def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFr
         level.events.append(event("E", f"{prefix}{n}", wrong, wrong.isNotNull()))
     marks = ordered(level.events)
     rows = level.df.select("_sid", "_parent", made.alias("_new"), (marks if every_error else ended(marks)).alias("_events"), *(c.alias(n) for n, c in level.values.items())).withColumn("_end", verdict(F.col("_events")))
+    if spec.id_strategy.type in ("serial", "int_sequence"):
+        rows = with_sequence(rows.drop("_new"), ["_sid"], "_new", sequences.get(spec.target, 1)).withColumn("_new", F.col("_new").cast("string"))
+    rows = keep(rows)
     alive = rows.filter("_end is null")
     own = []
-    if spec.id_strategy.type in ("serial", "int_sequence"):
-        alive = with_sequence(alive.drop("_new"), ["_sid"], "_new", sequences.get(spec.target, 1))
     if table is None or spec.id_strategy.target_field in table.columns:
         own = [cast_key(F.col("_new"), level.column(spec.id_strategy.target_field)).alias(spec.id_strategy.target_field)]
     fields = [*(f.target for f in spec.fields.values()), *([spec.unmapped.jsonb_column] if spec.unmapped.jsonb_column else [])]
@@ -268,7 +272,7 @@ def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFr
     out.children[spec.target] = out.children[spec.target].unionByName(made_rows) if spec.target in out.children else made_rows
     events.append(events_of(rows, spec.target))
     for n, below in spec.explode.items():
-        explode_level(below, f"{prefix}{n}.", alive.select("_sid", F.col("_new").cast("string").alias("_parent"), F.col(f"_items_{n}").alias("_items")), id_map, catalog, namespace, sequences, out, events, every_error)
+        explode_level(below, f"{prefix}{n}.", alive.select("_sid", F.col("_new").cast("string").alias("_parent"), F.col(f"_items_{n}").alias("_items")), id_map, catalog, namespace, sequences, out, events, every_error, keep)
 
 
 def unpivoted(alive: DataFrame, spec, table: TableDef | None) -> DataFrame:
