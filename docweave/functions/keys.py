@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,16 +32,24 @@ def new_id(strategy: str, source: Column, namespace: str = NAMESPACE) -> Column:
     raise ValueError(f"{strategy} numbers rows: see with_sequence")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder that the session names, or a new one where it names none (as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def with_sequence(df: DataFrame, order: list[str | Column], to: str, start: int = 1) -> DataFrame:
     """df with dense numbers from `start` on, in order, without one partition that holds all.
 
     Rows are range-partitioned and sorted; each partition's offset is the number of rows before it, of which there is one row a
-    partition.
+    partition. Rows and offsets must see the same partitions, so they are settled in between.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
     # monotonically_increasing_id counts from partition << 33 within each partition.
-    placed = placed.withColumn("_place", F.col("_place") - F.shiftleft(F.col("_part").cast("long"), 33))
+    placed = settled(placed.withColumn("_place", F.col("_place") - F.shiftleft(F.col("_part").cast("long"), 33)))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn(to, F.col("_before") + F.col("_place") + start).drop("_part", "_place", "_before")
