@@ -7,22 +7,22 @@
 3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and each pair
    is verified once on whole sets.
 4. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
-   posted shingle pairs its members with one of them only; what that links becomes one component. When a star round links
-   nothing new, the last round pairs all members that share a posted shingle and are still in different components. Each
-   pair of members is thus verified, or connected by links that were, and no group needs a cap.
+   posted shingle pairs its members with one of them only; what that links becomes one component. After the star rounds the
+   last round pairs all members that share a posted shingle and are still in different components. Each pair of
+   candidates is thus verified, or connected by links that were, and no group needs a cap.
 
 Verification routes each pair to the sets of both members; pairs are never collected, and components are found by rounds of
-distributed joins. Large groups are salted in every join on their key by Spark's skew handling, and never gathered.
+distributed joins. Shingles that many members post are counted with partial sums, and joins on them are split by Spark's skew
+handling; no group is gathered in one task. Shingles, sets and ids are compared by 64-bit hashes.
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and link with nothing; with fewer words than a
-shingle has, the whole sequence is the one shingle; rows with the same id are members of their own that start linked; null
-ids sort before others; other columns are ignored, whatever their names; an empty table gives an empty result.
+shingle has, the whole sequence is the one shingle; rows with the same id are documents of their own; null ids are
+never the smallest; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import stored
 
-#: Counters of the sketch (one byte each when broadcast), and entries of a worker's table of word hashes.
-SKETCH, KNOWN = 1 << 22, 500_000
+#: Counters of the sketch, of one byte each when broadcast.
+SKETCH = 1 << 22
 #: Blocks in which partial sketches are added up, and levels per doubling of a count.
 BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
@@ -39,41 +39,79 @@ BITS = 1 << 26
 STAR_ROUNDS = 2
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; the table starts anew when full."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers in which each bit of x matters to each bit of the result."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= KNOWN:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+BASE = np.uint64(0x9E3779B97F4A7C15)
+LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-@lru_cache(1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+class Powers:
+    """Powers of BASE and of its inverse, modulo 2 ** 64."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers in which each bit of x matters to each bit of the result."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 1 << 21)
+            one = np.ones(1, np.uint64)
+            self.up = np.concatenate([one, np.cumprod(np.full(n - 1, BASE))])
+            self.down = np.concatenate([one, np.cumprod(np.full(n - 1, np.uint64(pow(int(BASE), -1, 1 << 64))))])
+        return self.up, self.down
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashed shingles of a text, in ascending order."""
-    table = word_hashes()
-    h = np.fromiter(map(table.__getitem__, (text or "").encode().lower().split()), np.uint64)
-    if not len(h):
-        return h
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+POWERS = Powers()
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The distinct hashed shingles of each text, in ascending order.
+
+    Texts are hashed together: blanks between words are made one, a running sum of letters times powers gives the polynomial
+    hash of any stretch by one subtraction, and a shingle is the stretch from its first word's start to its last one's end.
+    """
+    raw = [(t or "").encode().lower() for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    b = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    if not len(b):
+        return []
+    blank = BLANK[b]
+    before = np.concatenate([[True], blank[:-1]])
+    keep = ~(blank & before)
+    c, blank, before = b[keep], blank[keep], before[keep]
+    up, down = POWERS.to(len(c) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[np.where(blank, np.uint8(32), c)] * up[: len(c)])])
+    start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank)
+    # Kept bytes, and so words, before each text's end.
+    last = np.searchsorted(start, np.cumsum(keep)[ends - 1])
+    first = np.concatenate([[0], last[:-1]])
+    out = []
+    for f, n in zip(first, last - first, strict=True):
+        k = min(words, n)
+        if k == 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        s, e = start[f : f + n - k + 1], end[f + k - 1 : f + n]
+        out.append(np.unique(mixed((sums[e] - sums[s]) * down[s])))
+    return out
+
+
+def in_groups(texts: list[str | None], words: int, limit: int = 1 << 19) -> Iterator[np.ndarray]:
+    """shingle_sets() of texts, some at a time, so that what is held beside them stays small."""
+    group: list[str | None] = []
+    held = 0
+    for t in texts:
+        group.append(t)
+        held += len(t or "")
+        if held >= limit:
+            yield from shingle_sets(group, words)
+            group, held = [], 0
+    yield from shingle_sets(group, words)
 
 
 def bucket(shingles: np.ndarray) -> np.ndarray:
@@ -100,7 +138,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Dat
         counts = np.zeros(SKETCH, np.uint32)
         names = ["_doc", "_n", "_member", "_block", "_counts"]
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            sets = list(in_groups(b.column(1).to_pylist(), words))
             if sets:
                 np.add.at(counts, bucket(np.concatenate(sets)).astype(np.int64), 1)
             n = len(sets)
@@ -164,7 +202,7 @@ def postings(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
 
         levels = sketch.value
         for b in batches:
-            found = [posted(shingle_set(t, words), levels, percent) for t in b.column(0).to_pylist()]
+            found = [posted(x, levels, percent) for x in in_groups(b.column(0).to_pylist(), words)]
             found = [x for x in found if x]
             yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, *_ in found], pa.int64()), "_size": pa.array([n for _, n, *_ in found], pa.int32()), "_tokens": pa.array([t for *_, t, _ in found], pa.list_(pa.int64())), "_lows": pa.array([x for *_, x in found], pa.list_(pa.int32()))})
 
@@ -199,13 +237,17 @@ def may_link(a: str, b: str, percent: int):
     return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.least(i, j) + 1 + behind) * (100 + percent) >= percent * (n + m))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(_member, _set) of the members in wanted (_member). A bitmap of fixed size keeps most others from being shuffled, and a join the rest."""
+def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(_member, _set) of the members in wanted (_member), each from the text of one of its documents.
+
+    A bitmap of fixed size over hashed ids says which documents those may be; only their texts are hashed again.
+    """
     spark = docs.sparkSession
-    place = F.pmod("_member", F.lit(BITS)).cast("long")
-    rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")).collect()
+    one = rows.join(wanted, "_member", "left_semi").groupBy("_member").agg(F.min("_doc").alias("_doc"))
+    place = F.pmod(F.xxhash64("_doc"), F.lit(BITS)).cast("long")
+    parts = one.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")).collect()
     bits = np.zeros((BITS // 32768 + 2, 4096), np.uint8)
-    for r in rows:
+    for r in parts:
         bits[r["_bucket"]] = np.frombuffer(r["_bits"], np.uint8)
     held = spark.sparkContext.broadcast(bits)
 
@@ -214,19 +256,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) ->
 
         bits = held.value
         for b in batches:
-            found = []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, words)
-                if len(s):
-                    m = member(s)
-                    # bitmap_bucket_number and bitmap_bit_position of a non-negative place: 1 + (place - 1) div 32768, (place - 1) mod 32768.
-                    at = m % BITS - 1
-                    if bits[at // 32768 + 1 if at >= 0 else 0, (at % 32768) >> 3 if at >= 0 else 0] >> (at & 7 if at >= 0 else 0) & 1:
-                        found.append((m, s.tobytes()))
+            # Buckets and positions as bitmap_bucket_number and bitmap_bit_position count them, from 1 on.
+            at = b.column(0).to_numpy()
+            row, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
+            may = pa.array((bits[row, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+            found = [(member(s), s.tobytes()) for s in in_groups(b.column(1).filter(may).to_pylist(), words) if len(s)]
             yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, _ in found], pa.int64()), "_set": pa.array([x for _, x in found], pa.binary())})
 
-    sets = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _set binary")
-    return sets.join(wanted, "_member", "left_semi").dropDuplicates(["_member"])
+    read = docs.select(F.pmod(F.xxhash64(id_col), F.lit(BITS)).cast("long").alias("_at"), F.col(text_col).alias("_text"))
+    return read.mapInArrow(make, "_member bigint, _set binary").dropDuplicates(["_member"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +316,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     posts = postings(docs, sketch, text_col, words, percent)
     shared = posts.groupBy("_token").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1").select("_token")
     live = stored(posts.join(shared, "_token"))
-    sets = stored(whole_sets(docs, live.select("_member").distinct(), text_col, words))
     roots = spark.createDataFrame([], "node bigint, root bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
     tried = links
@@ -304,6 +341,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                 break
             continue
         tried = tried.unionByName(pairs)
+        wanted = pairs.select(F.col("a").alias("_member")).unionByName(pairs.select(F.col("b").alias("_member"))).distinct()
+        sets = stored(whole_sets(docs, rows, wanted, id_col, text_col, words))
         found = stored(verified(pairs, sets, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
