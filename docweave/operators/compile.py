@@ -61,7 +61,8 @@ def matches(root: Column, kind: T.DataType, path: str, equals: str | int | bool)
 def landed(v: Value, column: ColumnDef | None) -> Value:
     """A value in its column's type; JSON columns take any value as JSON text."""
     if column is None:
-        return v if not isinstance(v.type, T.VariantType) else Value(json_of(v), T.StringType(), v.error)
+        # Without a column to say more, scalars of variants land as text and the rest as JSON.
+        return v if not isinstance(v.type, T.VariantType) else Value(F.coalesce(F.try_variant_get(v.column, "$", "string"), json_of(v)), T.StringType(), v.error)
     if column.is_json:
         return Value(F.when(v.error.isNull(), json_of(v)), T.StringType(), v.error)
     kind = column.spark
@@ -200,11 +201,13 @@ def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFra
     fields = [*(f.target for f in entity.fields.values()), *([entity.unmapped.jsonb_column] if entity.unmapped.jsonb_column else [])]
     out = Compiled((entity.target, alive.select(own, *dict.fromkeys(f for f in fields if f != entity.id_strategy.target_field))), documents=rows)
     all_events = [rows.select(F.lit(entity.target).alias("table"), F.col("_sid").alias("source_id"), F.posexplode("_events").alias("place", "_e")).select("table", "source_id", "_e.field", "_e.kind", "_e.message", "place")]
+    # A dry run looks below documents with errors too; what a policy skips is skipped with all below it.
+    below = rows.filter(~F.exists("_events", lambda e: e["kind"] == "S")) if every_error else alive
     for n, spec in entity.explode.items():
-        parents = alive.select("_sid", F.col("_new").alias("_parent"), F.col(f"_items_{n}").alias("_items"))
+        parents = below.select("_sid", F.col("_new").alias("_parent"), F.col(f"_items_{n}").alias("_items"))
         explode_level(spec, f"{n}.", parents, id_map, catalog, namespace, sequences, out, all_events, every_error, keep)
     for n, spec in entity.junction.items():
-        pairs = alive.select("_sid", F.col("_new").alias("_parent"), F.explode(f"_items_{n}").alias("_item"))
+        pairs = below.select("_sid", F.col("_new").alias("_parent"), F.explode(f"_items_{n}").alias("_item"))
         item = value(F.col("_item"), arrays[n])
         at = Level(pairs.withColumn("_row", F.struct(F.col("_item").alias("item"))), "_row", id_map, table(spec.target), f"{n}.")
         key = at.at("item")
@@ -271,8 +274,9 @@ def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFr
     made_rows = alive.select(*own, parent, *dict.fromkeys(f for f in fields if f not in (spec.id_strategy.target_field, spec.parent_fk.target_field)))
     out.children[spec.target] = out.children[spec.target].unionByName(made_rows) if spec.target in out.children else made_rows
     events.append(events_of(rows, spec.target))
-    for n, below in spec.explode.items():
-        explode_level(below, f"{prefix}{n}.", alive.select("_sid", F.col("_new").cast("string").alias("_parent"), F.col(f"_items_{n}").alias("_items")), id_map, catalog, namespace, sequences, out, events, every_error, keep)
+    parents = rows.filter(~F.exists("_events", lambda e: e["kind"] == "S")) if every_error else alive
+    for n, inner in spec.explode.items():
+        explode_level(inner, f"{prefix}{n}.", parents.select("_sid", F.col("_new").cast("string").alias("_parent"), F.col(f"_items_{n}").alias("_items")), id_map, catalog, namespace, sequences, out, events, every_error, keep)
 
 
 def unpivoted(alive: DataFrame, spec, table: TableDef | None) -> DataFrame:
