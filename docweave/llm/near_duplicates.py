@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from docweave.llm.common import stored
 
 #: Counters of the sketch, of one byte each when broadcast.
-SKETCH = 1 << 22
+SKETCH = 1 << 21
 #: Blocks in which partial sketches are added up, and levels per doubling of a count.
 BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
@@ -190,11 +190,11 @@ def summed(partial: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def postings(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -> DataFrame:
-    """(_token, _member, _size, _at, _low), a row for each shingle that a member posts.
+def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -> DataFrame:
+    """(_member, _size, _tokens, _lows): the shingles that each member posts, rarest first, and what its suffix filter goes by.
 
-    _at is the shingle's place in the member's order; _low, for the suffix filter, says how many of those behind it are in the
-    lower half of the hash range. Copies post alike, so one row of each member is kept before they are spread.
+    _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range. Copies post alike, so
+    one row of each member is kept.
     """
 
     def make(batches: Iterator):
@@ -207,8 +207,50 @@ def postings(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
             yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, *_ in found], pa.int64()), "_size": pa.array([n for _, n, *_ in found], pa.int32()), "_tokens": pa.array([t for *_, t, _ in found], pa.list_(pa.int64())), "_lows": pa.array([x for *_, x in found], pa.list_(pa.int32()))})
 
     each = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _size int, _tokens array<bigint>, _lows array<int>")
-    one = each.dropDuplicates(["_member"])
-    return one.select(F.posexplode(F.arrays_zip("_tokens", "_lows")).alias("_at", "_x"), "_member", "_size").select(F.col("_x._tokens").alias("_token"), "_member", "_size", "_at", F.col("_x._lows").alias("_low"))
+    return stored(each.dropDuplicates(["_member"]))
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of BITS bits, whatever the input, with those of the values (taken modulo BITS) set; in rows of 4096 bytes, as Spark's functions count them."""
+    place = F.pmod(column, F.lit(BITS)).cast("long")
+    parts = values.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")).collect()
+    bits = np.zeros((BITS // 32768 + 2, 4096), np.uint8)
+    for r in parts:
+        bits[r["_bucket"]] = np.frombuffer(r["_bits"], np.uint8)
+    return bits
+
+
+def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % BITS
+    row, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
+    return (bits[row, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def live_postings(posts: DataFrame) -> DataFrame:
+    """(_token, _member, _size, _at, _low) of the shingles that two members post or more.
+
+    Most shingles are posted once. Counting them shuffles nothing but the shingles; a bitmap of fixed size then keeps those of one
+    member from being shuffled with what the filters need, and a join the rest.
+    """
+    shared = posts.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_token")
+    shared = stored(shared)
+    held = posts.sparkSession.sparkContext.broadcast(bitmap(shared, "_token"))
+
+    def spread(batches: Iterator):
+        import pyarrow as pa
+
+        bits = held.value
+        for b in batches:
+            tokens = b.column(2).flatten().to_numpy()
+            n = np.diff(b.column(2).offsets.to_numpy())
+            keep = is_set(bits, tokens)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            lows = b.column(3).flatten().to_numpy()
+            repeat = lambda k: np.repeat(b.column(k).to_numpy(), n)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(repeat(0)), pa.array(repeat(1)), pa.array(at[keep].astype(np.int32)), pa.array(lows[keep])], names=["_token", "_member", "_size", "_at", "_low"])
+
+    some = posts.select("_member", "_size", "_tokens", "_lows").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int")
+    return stored(some.join(shared, "_token", "left_semi"))
 
 
 def posted(s: np.ndarray, levels: np.ndarray, percent: int):
@@ -238,33 +280,28 @@ def may_link(a: str, b: str, percent: int):
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_member, _set) of the members in wanted (_member), each from the text of one of its documents.
+    """(_member, _set) of the members in wanted (_member), each from the text of one of its documents; a task gives no member twice, but two tasks may.
 
     A bitmap of fixed size over hashed ids says which documents those may be; only their texts are hashed again.
     """
-    spark = docs.sparkSession
     one = rows.join(wanted, "_member", "left_semi").groupBy("_member").agg(F.min("_doc").alias("_doc"))
-    place = F.pmod(F.xxhash64("_doc"), F.lit(BITS)).cast("long")
-    parts = one.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")).collect()
-    bits = np.zeros((BITS // 32768 + 2, 4096), np.uint8)
-    for r in parts:
-        bits[r["_bucket"]] = np.frombuffer(r["_bits"], np.uint8)
-    held = spark.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(one.select(F.xxhash64("_doc").alias("_at")), "_at"))
 
     def make(batches: Iterator):
         import pyarrow as pa
 
-        bits = held.value
+        bits, seen = held.value, set()
         for b in batches:
-            # Buckets and positions as bitmap_bucket_number and bitmap_bit_position count them, from 1 on.
-            at = b.column(0).to_numpy()
-            row, bit = np.where(at > 0, (at - 1) // 32768 + 1, 0), np.where(at > 0, (at - 1) % 32768, 0)
-            may = pa.array((bits[row, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
-            found = [(member(s), s.tobytes()) for s in in_groups(b.column(1).filter(may).to_pylist(), words) if len(s)]
+            may = pa.array(is_set(bits, b.column(0).to_numpy()))
+            found = []
+            for s in in_groups(b.column(1).filter(may).to_pylist(), words):
+                if len(s) and (m := member(s)) not in seen:
+                    if len(seen) < 1 << 20:
+                        seen.add(m)
+                    found.append((m, s.tobytes()))
             yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, _ in found], pa.int64()), "_set": pa.array([x for _, x in found], pa.binary())})
 
-    read = docs.select(F.pmod(F.xxhash64(id_col), F.lit(BITS)).cast("long").alias("_at"), F.col(text_col).alias("_text"))
-    return read.mapInArrow(make, "_member bigint, _set binary").dropDuplicates(["_member"])
+    return docs.select(F.xxhash64(id_col).alias("_at"), F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _set binary").repartition("_member")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -313,9 +350,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     spark = docs.sparkSession
     rows, partial = signed(docs, id_col, text_col, words)
     sketch = spark.sparkContext.broadcast(summed(partial))
-    posts = postings(docs, sketch, text_col, words, percent)
-    shared = posts.groupBy("_token").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1").select("_token")
-    live = stored(posts.join(shared, "_token"))
+    live = live_postings(prefixes(docs, sketch, text_col, words, percent))
     roots = spark.createDataFrame([], "node bigint, root bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
     tried = links
@@ -342,8 +377,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             continue
         tried = tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("_member")).unionByName(pairs.select(F.col("b").alias("_member"))).distinct()
-        sets = stored(whole_sets(docs, rows, wanted, id_col, text_col, words))
-        found = stored(verified(pairs, sets, percent))
+        # Both sides of the pairs read the same exchange of sets.
+        found = stored(verified(pairs, whole_sets(docs, rows, wanted, id_col, text_col, words), percent).distinct())
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = stored(components(links))
