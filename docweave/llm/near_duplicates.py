@@ -4,8 +4,9 @@
 2. Shingles are ordered rare first, by a count sketch of a fixed size, and a member posts its prefix: so many of its first
    shingles that two members as alike as asked for share one of them at least. Any order that all members agree on gives
    the same links; what the sketch confuses costs time, not links.
-3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and each pair
-   is verified once on whole sets.
+3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and a
+   bitmap filter too: with a parity bit for each of MARKS parts of the hash range, two sets differ in as many shingles at least as their
+   bits differ. All filters are conditions of the join itself. Each pair is verified once on whole sets.
 4. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
    posted shingle pairs its members with one of them only; what that links becomes one component. After the star rounds the
    last round pairs all members that share a posted shingle and are still in different components. Each pair of
@@ -37,6 +38,8 @@ BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
 STAR_ROUNDS = 2
+#: Parity bits of a set.
+MARKS = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -138,11 +141,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Dat
         counts = np.zeros(SKETCH, np.uint32)
         names = ["_doc", "_n", "_member", "_block", "_counts"]
         for b in batches:
-            sets = list(in_groups(b.column(1).to_pylist(), words))
-            if sets:
-                np.add.at(counts, bucket(np.concatenate(sets)).astype(np.int64), 1)
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([member(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            sizes, members = [], []
+            for s in in_groups(b.column(1).to_pylist(), words):
+                np.add.at(counts, bucket(s).astype(np.int64), 1)
+                sizes.append(len(s))
+                members.append(member(s) if len(s) else None)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(members, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             parts = [level(x).tobytes() for x in np.split(counts, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, id_type), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
@@ -191,10 +196,10 @@ def summed(partial: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -> DataFrame:
-    """(_member, _size, _tokens, _lows): the shingles that each member posts, rarest first, and what its suffix filter goes by.
+    """(_member, _size, _tokens, _lows, _marks): the shingles that each member posts, rarest first, and what its filters go by.
 
-    _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range. Copies post alike, so
-    one row of each member is kept.
+    _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range; _marks holds the set's
+    parity bits. Copies post alike, so one row of each member is kept.
     """
 
     def make(batches: Iterator):
@@ -204,9 +209,9 @@ def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
         for b in batches:
             found = [posted(x, levels, percent) for x in in_groups(b.column(0).to_pylist(), words)]
             found = [x for x in found if x]
-            yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, *_ in found], pa.int64()), "_size": pa.array([n for _, n, *_ in found], pa.int32()), "_tokens": pa.array([t for *_, t, _ in found], pa.list_(pa.int64())), "_lows": pa.array([x for *_, x in found], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"_member": pa.array([x[0] for x in found], pa.int64()), "_size": pa.array([x[1] for x in found], pa.int32()), "_tokens": pa.array([x[2] for x in found], pa.list_(pa.int64())), "_lows": pa.array([x[3] for x in found], pa.list_(pa.int32())), "_marks": pa.array([x[4] for x in found], pa.list_(pa.int64()))})
 
-    each = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _size int, _tokens array<bigint>, _lows array<int>")
+    each = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _size int, _tokens array<bigint>, _lows array<int>, _marks array<bigint>")
     return stored(each.dropDuplicates(["_member"]))
 
 
@@ -227,7 +232,7 @@ def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def live_postings(posts: DataFrame) -> DataFrame:
-    """(_token, _member, _size, _at, _low) of the shingles that two members post or more.
+    """(_token, _member, _size, _at, _low, _marks) of the shingles that two members post or more.
 
     Most shingles are posted once. Counting them shuffles nothing but the shingles; a bitmap of fixed size then keeps those of one
     member from being shuffled with what the filters need, and a join the rest.
@@ -247,20 +252,23 @@ def live_postings(posts: DataFrame) -> DataFrame:
             at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
             lows = b.column(3).flatten().to_numpy()
             repeat = lambda k: np.repeat(b.column(k).to_numpy(), n)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(repeat(0)), pa.array(repeat(1)), pa.array(at[keep].astype(np.int32)), pa.array(lows[keep])], names=["_token", "_member", "_size", "_at", "_low"])
+            marks = np.repeat(b.column(4).flatten().to_numpy().reshape(-1, MARKS // 64), n, axis=0)[keep]
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (MARKS // 64)), pa.array(marks.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(repeat(0)), pa.array(repeat(1)), pa.array(at[keep].astype(np.int32)), pa.array(lows[keep]), marks], names=["_token", "_member", "_size", "_at", "_low", "_marks"])
 
-    some = posts.select("_member", "_size", "_tokens", "_lows").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int")
+    some = posts.select("_member", "_size", "_tokens", "_lows", "_marks").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int, _marks array<bigint>")
     return stored(some.join(shared, "_token", "left_semi"))
 
 
 def posted(s: np.ndarray, levels: np.ndarray, percent: int):
-    """(member, size, tokens, lows) of a set, or nothing of an empty one."""
+    """(member, size, tokens, lows, marks) of a set, or nothing of an empty one."""
     if not len(s):
         return None
     p = prefix_size(len(s), percent)
     order = np.lexsort((s, levels[bucket(s).astype(np.int64)]))
     low = (s[order] >> np.uint64(63)) == 0
-    return member(s), len(s), s[order[:p]].view(np.int64), (low.sum() - np.cumsum(low[:p])).astype(np.int32)
+    odd = np.bincount((s % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return member(s), len(s), s[order[:p]].view(np.int64), (low.sum() - np.cumsum(low[:p])).astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def member(s: np.ndarray) -> int:
@@ -271,12 +279,14 @@ def may_link(a: str, b: str, percent: int):
     """Whether two postings of one shingle leave their members a chance: by length, by place, and by what stands behind.
 
     Members that alike have overlap * (100 + percent) >= percent * (sum of sizes). Two that post a shingle share at most what
-    stands before the earlier of its places, the shingle, and of what stands behind it the smaller count in each half of the hash range.
+    stands before the earlier of its places, the shingle, and of what stands behind it the smaller count in each half of the hash range. They differ in (100 - percent) / (100 + percent) of that sum at most.
     """
     n, m = F.col(f"{a}._size").cast("long"), F.col(f"{b}._size").cast("long")
     i, j, low, down = (F.col(f"{x}.{c}") for c in ("_at", "_low") for x in (a, b))
     behind = F.least(low, down) + F.least(n - i - 1 - low, m - j - 1 - down)
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.least(i, j) + 1 + behind) * (100 + percent) >= percent * (n + m))
+    differ = sum((F.bit_count(F.get(f"{a}._marks", F.lit(k)).bitwiseXOR(F.get(f"{b}._marks", F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
+    alike = differ * (100 + percent) <= (100 - percent) * (n + m)
+    return alike & (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.least(i, j) + 1 + behind) * (100 + percent) >= percent * (n + m))
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -292,14 +302,15 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
 
         bits, seen = held.value, set()
         for b in batches:
-            may = pa.array(is_set(bits, b.column(0).to_numpy()))
-            found = []
-            for s in in_groups(b.column(1).filter(may).to_pylist(), words):
-                if len(s) and (m := member(s)) not in seen:
-                    if len(seen) < 1 << 20:
-                        seen.add(m)
-                    found.append((m, s.tobytes()))
-            yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, _ in found], pa.int64()), "_set": pa.array([x for _, x in found], pa.binary())})
+            texts = b.column(1).filter(pa.array(is_set(bits, b.column(0).to_numpy())))
+            for i in range(0, len(texts), 500):
+                found = []
+                for s in in_groups(texts[i : i + 500].to_pylist(), words):
+                    if len(s) and (m := member(s)) not in seen:
+                        if len(seen) < 1 << 18:
+                            seen.add(m)
+                        found.append((m, s.tobytes()))
+                yield pa.RecordBatch.from_pydict({"_member": pa.array([m for m, _ in found], pa.int64()), "_set": pa.array([x for _, x in found], pa.binary())})
 
     return docs.select(F.xxhash64(id_col).alias("_at"), F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _set binary").repartition("_member")
 
@@ -363,7 +374,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             now = now.join(open_, "_token", "left_semi")
             hubs, order = now, F.col("p._root") < F.col("q._root")
         else:
-            pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
+            pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_marks", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
             hubs = now.groupBy("_token").agg(pick.alias("_hub")).select("_token", "_hub.*")
             order = F.col("p._root") != F.col("q._root")
         pairs = now.alias("p").join(hubs.alias("q"), F.col("p._token") == F.col("q._token")).filter(order & may_link("p", "q", percent))
