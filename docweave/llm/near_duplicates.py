@@ -6,7 +6,7 @@
    the same links; what the sketch confuses costs time, not links.
 3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and a
    bitmap filter too: with a parity bit for each of MARKS parts of the hash range, two sets differ in as many shingles at least as their
-   bits differ. All filters are conditions of the join itself. Each pair is verified once on whole sets.
+   bits differ. Filters are conditions of the join itself, but for the bitmaps of long texts. Each pair is verified once on whole sets.
 4. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
    posted shingle pairs its members with one of them only; what that links becomes one component. After the star rounds the
    last round pairs all members that share a posted shingle and are still in different components. Each pair of
@@ -38,8 +38,8 @@ BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
 STAR_ROUNDS = 2
-#: Parity bits of a set.
-MARKS = 512
+#: Parity bits of a set, and of one of more than WIDE_FROM shingles, for which the former are too few.
+MARKS, WIDE, WIDE_FROM = 512, 4096, 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -196,10 +196,10 @@ def summed(partial: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -> DataFrame:
-    """(_member, _size, _tokens, _lows, _marks): the shingles that each member posts, rarest first, and what its filters go by.
+    """(_member, _size, _tokens, _lows, _marks, _wide): the shingles that each member posts, rarest first, and what its filters go by.
 
     _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range; _marks holds the set's
-    parity bits. Copies post alike, so one row of each member is kept.
+    parity bits, and _wide more of them where the set is large. Copies post alike, so one row of each member is kept.
     """
 
     def make(batches: Iterator):
@@ -209,9 +209,9 @@ def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
         for b in batches:
             found = [posted(x, levels, percent) for x in in_groups(b.column(0).to_pylist(), words)]
             found = [x for x in found if x]
-            yield pa.RecordBatch.from_pydict({"_member": pa.array([x[0] for x in found], pa.int64()), "_size": pa.array([x[1] for x in found], pa.int32()), "_tokens": pa.array([x[2] for x in found], pa.list_(pa.int64())), "_lows": pa.array([x[3] for x in found], pa.list_(pa.int32())), "_marks": pa.array([x[4] for x in found], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"_member": pa.array([x[0] for x in found], pa.int64()), "_size": pa.array([x[1] for x in found], pa.int32()), "_tokens": pa.array([x[2] for x in found], pa.list_(pa.int64())), "_lows": pa.array([x[3] for x in found], pa.list_(pa.int32())), "_marks": pa.array([x[4] for x in found], pa.list_(pa.int64())), "_wide": pa.array([x[5] for x in found], pa.list_(pa.int64()))})
 
-    each = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _size int, _tokens array<bigint>, _lows array<int>, _marks array<bigint>")
+    each = docs.select(F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _size int, _tokens array<bigint>, _lows array<int>, _marks array<bigint>, _wide array<bigint>")
     return stored(each.dropDuplicates(["_member"]))
 
 
@@ -261,14 +261,18 @@ def live_postings(posts: DataFrame) -> DataFrame:
 
 
 def posted(s: np.ndarray, levels: np.ndarray, percent: int):
-    """(member, size, tokens, lows, marks) of a set, or nothing of an empty one."""
+    """(member, size, tokens, lows, marks, wide) of a set, or nothing of an empty one."""
     if not len(s):
         return None
     p = prefix_size(len(s), percent)
     order = np.lexsort((s, levels[bucket(s).astype(np.int64)]))
     low = (s[order] >> np.uint64(63)) == 0
-    odd = np.bincount((s % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
-    return member(s), len(s), s[order[:p]].view(np.int64), (low.sum() - np.cumsum(low[:p])).astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return member(s), len(s), s[order[:p]].view(np.int64), (low.sum() - np.cumsum(low[:p])).astype(np.int32), parity(s, MARKS), parity(s, WIDE) if len(s) > WIDE_FROM else None
+
+
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def member(s: np.ndarray) -> int:
@@ -315,6 +319,15 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
     return docs.select(F.xxhash64(id_col).alias("_at"), F.col(text_col).alias("_text")).mapInArrow(make, "_member bigint, _set binary").repartition("_member")
 
 
+def still_likely(pairs: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) but those of two large sets whose wide bitmaps differ too much."""
+    wide = posts.filter("_wide is not null").select("_member", "_size", "_wide")
+    x, y = (wide.select(F.col("_member").alias(k), F.col("_size").cast("long").alias(f"_n{k}"), F.col("_wide").alias(f"_w{k}")) for k in "ab")
+    differ = F.aggregate(F.zip_with("_wa", "_wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    apart = differ * (100 + percent) > (100 - percent) * (F.col("_na") + F.col("_nb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sets are alike."""
     x, y = sets.select(F.col("_member").alias("a"), F.col("_set").alias("_x")), sets.select(F.col("_member").alias("b"), F.col("_set").alias("_y"))
@@ -361,7 +374,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     spark = docs.sparkSession
     rows, partial = signed(docs, id_col, text_col, words)
     sketch = spark.sparkContext.broadcast(summed(partial))
-    live = live_postings(prefixes(docs, sketch, text_col, words, percent))
+    posts = prefixes(docs, sketch, text_col, words, percent)
+    live = live_postings(posts)
     roots = spark.createDataFrame([], "node bigint, root bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
     tried = links
@@ -381,7 +395,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs = pairs.select(F.least("p._member", "q._member").alias("a"), F.greatest("p._member", "q._member").alias("b")).distinct()
         if rnd:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        pairs = stored(still_likely(pairs, posts, percent))
         if pairs.isEmpty():
             if last:
                 break
