@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of a worker's table of known pieces (it starts anew when full), bytes of the longest piece put there, and the bytes of one batch for the library.
-KNOWN, KNOWN_BYTES, BATCH_BYTES = 400_000, 64, 1 << 20
+#: Entries of a worker's table of known pieces (it takes no more when full), bytes of the longest piece put there, and the bytes of one batch for the library.
+KNOWN, KNOWN_BYTES, BATCH_BYTES = 700_000, 32, 1 << 20
 
 
 def by_bytes(pieces: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
@@ -36,13 +36,13 @@ def by_bytes(pieces: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[byt
         yield batch
 
 
-def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool]:
-    """The tokenizer at path as a function from pieces to lengths, and whether it may be fed words one by one."""
+def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool, bool]:
+    """The tokenizer at path as a function from pieces to lengths, whether it may be fed pieces between blanks, and whether it lower-cases."""
     if path.endswith(".model"):
         import sentencepiece
 
         piece = sentencepiece.SentencePieceProcessor(model_file=path)
-        return (lambda xs: [len(i) for i in piece.encode([x.decode() for x in xs], num_threads=1)]), False
+        return (lambda xs: [len(i) for i in piece.encode([x.decode() for x in xs], num_threads=1)]), False, False
     import json
     import os
 
@@ -52,18 +52,27 @@ def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    steps = (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+    conf = json.loads(tokenizer.to_str())
+    steps = (conf["pre_tokenizer"] or {}).get("pretokenizers", [])
     # Matches are kept and the rest removed, and no match holds white space.
-    words = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in str(s["pattern"]) for s in steps)
-    return (lambda xs: [len(e.ids) for e in tokenizer.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)]), words
+    words = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
+    # Special strings are looked for before the text is lower-cased, so they must be without capitals.
+    lower = any(s["type"] == "Lowercase" for s in (conf["normalizer"] or {}).get("normalizers", [])) and all(t["content"] == t["content"].lower() for t in conf["added_tokens"])
+    special = [t["content"].encode() for t in conf["added_tokens"]]
+
+    def lengths(xs: list[bytes]) -> list[int]:
+        return [len(e.ids) for e in tokenizer.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)]
+
+    return lengths, words, lower and not any(any(65 <= c <= 90 for c in s) for s in special)
 
 
 class Lengths:
     """Counts tokens of texts, keeping the lengths of pieces it has met."""
 
     def __init__(self, path: str):
-        self.lengths, self.words = library_lengths(path)
+        self.lengths, self.words, self.lower = library_lengths(path)
         self.known: dict[bytes, int] = {}
+        self.stop = dict(zip((b",", b"."), self.lengths([b",", b"."]), strict=True)) if self.words else {}
 
     def of(self, texts: list[str | None]) -> list[int]:
         if not self.words:
@@ -72,25 +81,45 @@ class Lengths:
             for batch in by_bytes(list(set(raw))):
                 got.update(zip(batch, self.lengths(batch), strict=True))
             return [got[r] for r in raw]
-        out = []
+        out: list[int] = []
+        missed: list[list[bytes]] = []
+        known = self.known
         for t in texts:
-            pieces = t.encode().split() if t else []
-            try:
-                out.append(sum(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                out.append(self._learn(pieces))
+            # A text with special strings keeps its capitals, lest it seem to hold more of them.
+            pieces = [] if not t else t.encode().lower().split() if self.lower and "<|" not in t else t.encode().split()
+            n = list(map(known.get, pieces))
+            if None in n:
+                rest = [p for p, k in zip(pieces, n, strict=True) if k is None]
+                missed.append(rest)
+                out.append(-1)
+                n = [k for k in n if k is not None]
+                missed[-1].append(sum(n))  # what is known of it, at the end
+            else:
+                out.append(sum(n))
+        if missed:
+            found = self._learn({p for rest in missed for p in rest[:-1]})
+            done = iter(missed)
+            out = [k if k >= 0 else (rest := next(done))[-1] + sum(map(found.__getitem__, rest[:-1])) for k in out]
         return out
 
-    def _learn(self, pieces: list[bytes]) -> int:
-        new = {p for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = set(pieces)
-        long: dict[bytes, int] = {}
-        for batch in by_bytes(list(new)):
+    def _learn(self, pieces: set[bytes]) -> dict[bytes, int]:
+        """The lengths of pieces that aren't known. A stop at the end of letters is a word of its own, and so are the letters."""
+        found: dict[bytes, int] = {}
+        stems = {p: p[:-1] for p in pieces if p[-1:] in self.stop and p[:-1].isalpha()}
+        new = {stems.get(p, p) for p in pieces}
+        for p in new:
+            if (n := self.known.get(p)) is not None:
+                found[p] = n
+        for batch in by_bytes([p for p in new if p not in found]):
             for p, n in zip(batch, self.lengths(batch), strict=True):
-                (self.known if len(p) <= KNOWN_BYTES and len(self.known) < KNOWN else long)[p] = n
-        return sum(long[p] if p in long else self.known[p] for p in pieces)
+                found[p] = n
+                if len(p) <= KNOWN_BYTES and len(self.known) < KNOWN:
+                    self.known[p] = n
+        for p, stem in stems.items():
+            found[p] = found[stem] + self.stop[p[-1:]]
+            if len(self.known) < KNOWN // 2:
+                self.known[p] = found[p]
+        return found
 
 
 @lru_cache(2)
