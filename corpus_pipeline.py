@@ -39,7 +39,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words belong to no group and all stay.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = docs.select(F.struct("doc_id", key.alias("text_key")).alias("_own"), "text")
+    # Null ids come last, so that one is kept only where a group has no other.
+    own = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("text_key")).alias("_own"), "text")
     groups = near_duplicates.link(own, id_col="_own", words=5, percent=80)
     first = groups.filter(F.col("component_id") == F.col("_doc")).select(F.col("_doc.doc_id").alias("_id"), F.col("_doc.text_key").alias("_key")).distinct()
     kept = docs.select(*COLUMNS, key.alias("_text_key")).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
