@@ -202,4 +202,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert "order_items" in (tmp_path / "p.yaml").read_text()
     assert main(["reshape", "--source", str(tmp_path / "in"), "--collection", "orders", "--by", "userId", "--order", "createdAt", "--dest", str(tmp_path / "one.parquet")]) == 0
     assert spark.read.parquet(str(tmp_path / "one.parquet")).count() == 1
-    assert redacted("postgres://a:secret@h/x password=hunter2") == "postgres://a:***@h/x password=***"
+    assert redacted("db://a:secret@h/x password=hunter2") == "db://a:***@h/x password=***"
