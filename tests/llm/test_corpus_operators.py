@@ -91,6 +91,25 @@ def test_mixing_of_nothing_zeros_and_unknown_values(spark):
     assert len(out) == 4 and len({r._kept for r in out if r.doc_id == 2}) == 1 and not [r for r in out if r.doc_id == 1 and r._kept]
 
 
+def test_margins_hold_where_cells_would_need_more_than_they_have(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("aaaaaaab"), rnd.choice(["x", "x", "x", "x", "y", None]), rnd.randint(1, 50)) for i in range(3000)]
+    df, every = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long"), sum(r[3] for r in rows)
+    want = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.5, "y": 0.3, None: 0.2}}
+    targets = {m: spark.createDataFrame([*t.items()], "value string, share double") for m, t in want.items()}
+    out = mixing.mix(df, ["source", "lang"], "n", targets=targets).collect()
+    held = sum(r.n * r._rate for r in out)
+    assert len(out) == 3000 and max(r._rate for r in out) <= 1
+    for m, t in want.items():
+        for v, share in t.items():
+            assert abs(sum(r.n * r._rate for r in out if r[m] == v) / held - share) <= 0.01 * share
+            assert abs(sum(r.n for r in out if r._kept and r[m] == v) / sum(r.n for r in out if r._kept) - share) < 0.03
+    # Less than a step below what the scarcest value allows, and more than one scale for all cells would leave.
+    most = min(0.5, *(sum(r.n for r in out if r[m] == v) / every / s for m, t in want.items() for v, s in t.items()))
+    free = mixing.raked(df.groupBy("source", "lang").agg(F.sum("n").alias("_tokens")), targets).collect()
+    assert most - 0.5 / mixing.STEPS <= held / every <= most * 1.01 and held / every > 1.1 / max(r._weight * every / r._tokens for r in free)
+
+
 # Lines
 
 
