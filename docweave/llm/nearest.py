@@ -9,9 +9,10 @@ reranked by inner products in double precision on the original vectors.
 Within a part, queries and candidates meet in blocks of bounded size, so a part that holds a third of all vectors is only more
 blocks. Each block gives a query its nearest few, which are merged by a window over a bounded number of rows a query.
 
-Defined results: vectors that are null, zero, of another length than most of the sample, or holding null or non-finite components take no part; of
-rows with the same id one is used, the least vector; a query finds no row of its own id; with fewer candidates than asked for it gets what its
-parts hold; ties go to the smaller id; an empty table gives an empty result. Other columns are ignored.
+Defined results: vectors that are null, zero, of another length than most of the sample, or holding null or non-finite components take no part; all
+other rows can be found, those with a repeated or null id too; of queries with the same id one is asked, the least vector; a query finds no row
+of its own id; with fewer candidates than asked for it gets what its parts hold; ties go to the smaller id, and to a null last; an empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,32 +124,33 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, c)
 
 
-def best(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, k: int):
-    """(query, candidate, score) of the k nearest of each query: a fast product finds who may be among them, the exact one decides."""
+def best(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.ndarray, c_none: np.ndarray, k: int):
+    """(query, candidate, whether it has no id, score) of the k nearest of each query: a fast product finds who may be among them, the exact one decides."""
     fast = queries @ cands.T
     slack = 1e-9 * (np.linalg.norm(queries, axis=1) * np.linalg.norm(cands, axis=1).max())
     for i in range(len(queries)):
-        row = np.where(c_ids == q_ids[i], -np.inf, fast[i])
+        row = np.where((c_ids == q_ids[i]) & ~c_none, -np.inf, fast[i])
         n = min(k, int(np.isfinite(row).sum()))
         if n == 0:
             continue
         edge = np.partition(row, len(row) - n)[len(row) - n]
         at = np.flatnonzero(row >= edge - slack[i])
         s = scores(np.broadcast_to(queries[i], (len(at), queries.shape[1])), cands[at])
-        first = np.lexsort((c_ids[at], -s))[:n]
-        yield q_ids[i], c_ids[at[first]], s[first]
+        first = np.lexsort((c_ids[at], c_none[at], -s))[:n]
+        yield q_ids[i], c_ids[at[first]], c_none[at[first]], s[first]
 
 
 def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, levels: int = LEVELS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is_query takes for one, nearest first."""
     spark = rows.sparkSession
-    clean = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter(F.col("_id").isNotNull() & usable("_v"))
-    clean = clean.groupBy("_id").agg(F.min("_v").alias("_v"))
-    some = clean.orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
+    clean = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter(usable("_v"))
+    # The sample takes an id once, however often it is repeated.
+    once = clean.filter("_id is not null").groupBy("_id").agg(F.min("_v").alias("_v")).unionByName(clean.filter("_id is null"))
+    some = once.orderBy(F.when(F.col("_id").isNull(), F.xxhash64("_v")).otherwise(F.xxhash64("_id")), "_id", "_v").limit(sample).collect()
     dim = Counter(len(r["_v"]) for r in some).most_common(1)[0][0] if some else 0
     router = fit(np.array([r["_v"] for r in some if len(r["_v"]) == dim]), levels, recall) if some else fit(np.zeros((0, 1)), levels)
     held = spark.sparkContext.broadcast(router)
-    asked = clean.filter(F.size("_v") == dim).withColumn("_asked", F.coalesce(is_query(F.col("_id")), F.lit(False)))
+    asked = clean.filter(F.size("_v") == dim).withColumn("_asked", F.coalesce(is_query(F.col("_id")), F.lit(False))).withColumn("_row", F.monotonically_increasing_id())
 
     def route(batches: Iterator):
         import pyarrow as pa
@@ -158,16 +160,18 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, i
             if b.num_rows:
                 x = np.array(b.column(1).flatten()).reshape(-1, dim)
                 ranks = router.ranked(x, router.visits).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(ranks), pa.list_(pa.int32()))], names=["_id", "_v", "_asked", "_parts"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(ranks), pa.list_(pa.int32()))], names=["_id", "_v", "_asked", "_row", "_parts"])
 
-    routed = stored(asked.mapInArrow(route, "_id bigint, _v array<double>, _asked boolean, _parts array<int>"))
+    # Settled here, as another evaluation could number rows otherwise.
+    routed = stored(asked.mapInArrow(route, "_id bigint, _v array<double>, _asked boolean, _row bigint, _parts array<int>"))
     home = routed.withColumn("_part", F.get("_parts", F.lit(0)))
     # As many rows as there are parts.
     sizes = {r["_part"]: r["n"] for r in home.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    visits = routed.filter("_asked").select("_id", "_v", F.explode("_parts").alias("_part"))
+    asking = routed.filter("_asked").groupBy("_id").agg(F.min(F.struct("_v", "_row", "_parts")).alias("_least")).select("_id", "_least.*")
+    visits = asking.select("_id", "_v", "_row", F.explode("_parts").alias("_part"))
     calls = {r["_part"]: r["n"] for r in visits.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = lambda n: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in range(2**levels) for x in (p, max(1, -(-n.get(p, 0) // block))))), F.col("_part")), F.lit(1))
-    dealt = lambda n: F.pmod(F.xxhash64("_id"), blocks(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("_row"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (blocks(n) - 1).cast("int")))
     cands = home.select("_part", dealt(sizes).alias("_c"), every(calls).alias("_q"), "_id", "_v")
     asks = visits.select("_part", every(sizes).alias("_c"), dealt(calls).alias("_q"), "_id", "_v")
@@ -175,14 +179,14 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, i
     def meet(queries, cands):
         import pyarrow as pa
 
-        read = lambda t: (np.array(t.column("_v").combine_chunks().flatten()).reshape(-1, dim), t.column("_id").to_numpy())
+        read = lambda t: (np.array(t.column("_v").combine_chunks().flatten()).reshape(-1, dim), t.column("_id").combine_chunks())
         if queries.num_rows and cands.num_rows:
             (q, qi), (c, ci) = read(queries), read(cands)
-            found = list(best(q, qi, c, ci, k))
+            found = list(best(q, qi.to_numpy(), c, ci.fill_null(0).to_numpy(), ci.is_null().to_numpy(zero_copy_only=False), k))
         else:
             found = []
-        return pa.table({"query_id": pa.array([x for i, n, _ in found for x in [i] * len(n)], pa.int64()), "vec_id": pa.array([x for _, n, _ in found for x in n], pa.int64()), "score": pa.array([x for *_, s in found for x in s], pa.float64())})
+        return pa.table({"query_id": pa.array([x for i, n, *_ in found for x in [i] * len(n)], pa.int64()), "vec_id": pa.array([None if none else x for _, n, z, _ in found for x, none in zip(n, z, strict=True)], pa.int64()), "score": pa.array([x for *_, s in found for x in s], pa.float64())})
 
     found = asks.groupBy("_part", "_c", "_q").cogroup(cands.groupBy("_part", "_c", "_q")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

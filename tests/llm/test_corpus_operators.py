@@ -168,6 +168,13 @@ def test_search_finds_what_brute_force_finds(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_search_finds_rows_with_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [8.0, 0.0]), (None, [7.0, 0.0]), (2, [7.0, 0.0]), (None, [6.0, 0.0]), (0, [5.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(nearest.search(df, lambda i: i == 0, k=10).collect(), key=lambda r: r["rank"])
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 1, 9.0), (0, 2, 1, 8.0), (0, 3, 2, 7.0), (0, 4, None, 7.0), (0, 5, None, 6.0)]
+
+
 # Tokenizers
 
 
