@@ -136,12 +136,16 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Network:
-    """A network trained on labelled rows of docs that aren't held out: of the first max_rows labels by the id's md5, those with texts of at most max_bytes."""
+    """A network trained on labelled rows of docs that aren't held out: of the first max_rows labels by the id's md5, those with texts of at most max_bytes.
+
+    Of several such texts with one id, the one with the least hash is taken.
+    """
     told = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out("_id") & F.col("_id").isNotNull())
     some = told.dropDuplicates(["_id"]).orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.octet_length("_text") <= max_bytes)
     # At most max_rows ids: small enough to send to every task.
-    rows = sorted(texts.join(F.broadcast(some), "_id").limit(2 * max_rows).collect(), key=lambda r: (str(r["_id"]), r["_text"]))
+    each = texts.join(F.broadcast(some), "_id").groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("_least"))
+    rows = sorted(each.select("_id", "_label", "_least._text").collect(), key=lambda r: (str(r["_id"]), r["_text"]))
     return train([r["_text"] for r in rows], [r["_label"] for r in rows])
 
 

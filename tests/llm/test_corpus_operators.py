@@ -364,6 +364,18 @@ def test_network_learns_and_scores_everything(spark):
     assert abs(quality_cnn.fit(df, labels.limit(0)).score(["x"])[0] - 0.5) < 1e-6
 
 
+def test_repeated_ids_dont_crowd_out_training_texts(spark, monkeypatch):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    some = sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:10]
+    rows = [(some[0], f"copy {n}") for n in range(200)] + [(i, f"text {i}") for i in ids if i != some[0]]
+    labels, seen = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"), []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, marks: seen.append(list(zip(texts, marks, strict=True))))
+    for given in (rows, rows[::-1]):
+        quality_cnn.fit(docs(spark, given), labels, max_rows=10)
+    assert seen[0] == seen[1] and len(seen[0]) == 10
+    assert {t for t, _ in seen[0]} >= {f"text {i}" for i in some[1:]}
+
+
 def test_chunks_cover_whole_texts():
     net = quality_cnn.train(["good text"] * 20 + ["bad@@text"] * 20, [1] * 20 + [0] * 20)
     long = "good text " * 400
