@@ -143,6 +143,14 @@ def test_profile_of_mixed_documents(spark):
     assert [profile.sample_size(n) for n in (10, 5000, 6000, 100_000, 10**8)] == [10, 5000, 1000, 2000, 50_000]
 
 
+def test_profile_of_deep_documents(spark):
+    n = 18
+    text = '{"a": [' * 2 + '{"a": ' * (n - 2) + "1" + "}" * (n - 2) + "]}" * 2
+    found = {r.path: r for r in profile.field_stats(spark.range(3).select(F.parse_json(F.lit(text)).alias("doc"))).collect()}
+    deepest = "a[].a[]" + ".a" * (n - 2)
+    assert len(found) == n and found[deepest].types == ["int"] and found[deepest].present_count == 3
+
+
 def test_reconciliation_names_what_differs(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"), shop.catalog())
     load(shop.mapping(), shop.collections(spark), store, "truncate")
