@@ -127,6 +127,8 @@ def validate(args: argparse.Namespace, sources: Collections) -> int:
         print(f"{'ok  ' if c.matches else 'DIFF'} {c.entity} {c.table}: source {c.source}, left out {c.expected_skip}, target {c.target}")
     for v in report.values:
         print(f"DIFF {v.entity} {v.source_id} {v.field}: {v.source!r} became {v.target!r}")
+    for f in report.fields:
+        print(f"DIFF {f.entity} {f.field}: {f.n} in all{', of which only the first are listed' if f.truncated else ''}")
     for d in report.dangling:
         print(f"info {d.entity} {d.field}: {d.n_values} values without a row, on {d.n_rows} documents")
     return int(not report.ok)

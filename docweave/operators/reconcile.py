@@ -7,6 +7,7 @@ uses.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,16 @@ class ValueDiff:
     target: str | None
 
 
+@dataclass(frozen=True)
+class FieldDiffs:
+    """How often a field differs in all compared rows; truncated if the listed values of its entity are only the first."""
+
+    entity: str
+    field: str
+    n: int
+    truncated: bool
+
+
 @dataclass(frozen=True)
 class Dangling:
     entity: str
@@ -59,6 +70,7 @@ class Reconciliation:
     counts: list[CountDiff] = field(default_factory=list)
     values: list[ValueDiff] = field(default_factory=list)
     dangling: list[Dangling] = field(default_factory=list)
+    fields: list[FieldDiffs] = field(default_factory=list)
 
     @property
     def ok(self) -> bool:
@@ -117,7 +129,7 @@ def array_rows(df: DataFrame, array: str) -> Column:
 
 
 def reconcile(mapping: Mapping, sources: Collections, store: Store, namespace: str = NAMESPACE, sample: int | None = SAMPLE, seed: int = 0) -> Reconciliation:
-    """The report over all entities; with sample=None all rows' values are compared."""
+    """The report over all entities; with sample=None all rows' values are compared. The first SAMPLE differences of an entity are listed, all are counted by field."""
     out, state = Reconciliation(), store.manifest()
     shared: dict[str, int] = {}
     for e in mapping.entities.values():
@@ -148,8 +160,12 @@ def reconcile(mapping: Mapping, sources: Collections, store: Store, namespace: s
                 actual = actual.join(picked, F.col(key).cast("string") == F.col("_t"), "left_semi")
             elif shared[entity.target] > 1:
                 actual = actual.join(loaded, F.col(key).cast("string") == F.col("_t"), "left_semi")
-            diffs = value_diffs(expected, actual, key, fields).join(loaded, F.col("key") == F.col("_t"), "left").limit(SAMPLE)
-            out.values += [ValueDiff(name, r["_s"] or r["key"], r["field"], r["expected"], r["actual"]) for r in diffs.collect()]
+            diffs = value_diffs(expected, actual, key, fields).join(loaded, F.col("key") == F.col("_t"), "left")
+            found = diffs.orderBy("key", "field", "_s").limit(SAMPLE + 1).collect()
+            truncated, found = len(found) > SAMPLE, found[:SAMPLE]
+            out.values += [ValueDiff(name, r["_s"] or r["key"], r["field"], r["expected"], r["actual"]) for r in found]
+            numbers = {r["field"]: r["n"] for r in diffs.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()} if truncated else Counter(r["field"] for r in found)
+            out.fields += [FieldDiffs(name, f, n, truncated) for f, n in sorted(numbers.items())]
         for path, spec in entity.fields.items():
             if spec.lookup and spec.on_missing != "error":
                 from docweave.operators.compile import as_document

@@ -164,6 +164,20 @@ def test_reconciliation_names_what_differs(spark, tmp_path):
     assert [c.table for c in report.counts if not c.matches] == ["order_tags"]
 
 
+def test_differences_beyond_the_listed_are_counted(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "t"), shop.catalog())
+    load(shop.mapping(), shop.collections(spark), store, "truncate")
+    state = store.begin()
+    state.replace("products", store.read("products").withColumn("name", F.lit("?")).withColumn("sku", F.concat("sku", F.when(F.col("sku") == "S1", "!").otherwise(""))))
+    state.publish()
+    every = reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None)
+    monkeypatch.setattr(reconcile, "SAMPLE", 1)
+    some = reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None)
+    assert len(every.values) == 3 and some.values == every.values[:1] and not some.ok
+    for report, truncated in ((every, False), (some, True)):
+        assert [(d.entity, d.field, d.n, d.truncated) for d in report.fields] == [("products", "name", 2, truncated), ("products", "sku", 1, truncated)]
+
+
 def test_canonical_values(spark):
     row = spark.sql("select 1.50D d, cast(1.500 as decimal(9,3)) n, 1L i, timestamp'2026-01-01 00:00:00' t").select(*(reconcile.canonical(F.col(c), k) for c, k in (("d", reconcile.T.DoubleType()), ("n", reconcile.T.DecimalType(9, 3)), ("i", reconcile.T.LongType()), ("t", reconcile.T.TimestampType())))).first()
     assert tuple(row) == ("1.5", "1.5", "1", "2026-01-01T00:00:00.000000")
