@@ -347,11 +347,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(make, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, root) for each node of edges (a, b), root being the smallest node of its component, by alternating large and small stars.
-
-    After a given number of rounds, roots are nodes of the component, though not yet one and the smallest for all of it.
-    """
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of edges (a, b), root being the smallest node of its component, by alternating large and small stars."""
     least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
@@ -363,9 +360,6 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         spread = large.join(m, "u")
         small = spread.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stored(small)
-        if rounds is not None and (rounds := rounds - 1) <= 0:
-            rooted = least(e).select(F.col("u").alias("node"), F.col("m").alias("root"))
-            return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -403,17 +397,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(still_likely(pairs, posts, percent))
         if pairs.isEmpty():
-            if last and not links.isEmpty():
-                roots = stored(components(links))
             continue
         tried = tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("_member")).unionByName(pairs.select(F.col("b").alias("_member"))).distinct()
         # Both sides of the pairs read the same exchange of sets.
         found = stored(verified(pairs, whole_sets(docs, rows, wanted, id_col, text_col, words), percent).distinct())
-        if last or not found.isEmpty():
+        if not found.isEmpty():
             links = links.unionByName(found)
-            # Star rounds only need to know that nodes are connected.
-            roots = stored(components(links, None if last else 1))
+            # To the end, as members that still had different roots would meet again in the next round.
+            roots = stored(components(links))
     classed = rows.join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member"))
     lowest = classed.filter("_root is not null").groupBy("_root").agg(F.min("_doc").alias("_least"))
     return classed.join(lowest, "_root", "left").select("_doc", F.col("_n").alias("n_shingles"), F.coalesce("_least", "_doc").alias("component_id"))
