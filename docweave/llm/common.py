@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: The characters of [\x20\x09-\x0D].
 BLANKS = "\t\n\x0b\x0c\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +34,29 @@ def stored(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark removes the shuffle files (and, where it is set to, the checkpoints) that nothing refers to any more.
+
+    Between the rounds of a long job they would stay until the driver's memory happened to run short.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def text_groups(texts: pa.Array, limit: int) -> Iterator[list[str]]:
+    """An Arrow array of texts in lists of at most `limit` bytes, or of one longer text; a null is an empty text."""
+    import numpy as np
+
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield [t or "" for t in texts[at:to].to_pylist()]
+        at = to
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -6,10 +6,12 @@
    the same links; what the sketch confuses costs time, not links.
 3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and a
    bitmap filter too: with a parity bit for each of MARKS parts of the hash range, two sets differ in as many shingles at least as their
-   bits differ. Filters are conditions of the join itself, but for the bitmaps of long texts. Each pair is verified once on whole sets.
-4. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
-   posted shingle pairs its members with one of them only; what that links becomes one component. After the star rounds the
-   last round pairs all members that share a posted shingle and are still in different components. Each pair of
+   bits differ. Filters are conditions of the join itself, but for bitmaps where a member meets one other only, and those of long texts. Each pair is verified once on whole sets.
+4. Postings are grouped by shingle and band of set sizes; bands are so wide that only members of one band, or of two next to each
+   other, can be alike. A shingle that one member posts, or two of sizes too far apart, goes no further than its count.
+5. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
+   group pairs its members, and those of the band below, with one of them only; what that links becomes one component. That is all there is to shingles with two postings.
+   Star rounds go on while groups are large and new links are found. The last round pairs all members that share one of the other shingles and are still in different components. Each pair of
    candidates is thus verified, or connected by links that were, and no group needs a cap.
 
 Verification routes each pair to the sets of both members; pairs are never collected, and components are found by rounds of
@@ -18,18 +20,26 @@ handling; no group is gathered in one task. Shingles, sets and ids are compared
 
 Defined results: null and empty texts, and texts of blanks, have an empty set and link with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; rows with the same id are documents of their own; null ids are
-never the smallest; other columns are ignored, whatever their names; an empty table gives an empty result.
+never the smallest; other columns are ignored, whatever their names; an empty table gives an empty result. A very long text is
+hashed in stretches of STRETCH bytes that overlap by a shingle, so that only its set, of 8 bytes a shingle, is held whole (a
+single word that is longer than that takes some 30 bytes a byte while it is hashed).
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import BLANK_RUN, BLANKS, released, stored, text_groups
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Counters of the sketch, of one byte each when broadcast.
 SKETCH = 1 << 21
@@ -37,7 +47,10 @@ SKETCH = 1 << 21
 BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
-STAR_ROUNDS = 2
+#: Star rounds at most, and the pairs a posting above which another one is worth it.
+STAR_ROUNDS, CROWD = 4, 8
+#: Bytes that are hashed together.
+STRETCH = 1 << 19
 #: Parity bits of a set, and of one of more than WIDE_FROM shingles, for which the former are too few.
 MARKS, WIDE, WIDE_FROM = 512, 4096, 1000
 
@@ -52,21 +65,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLANK_AT, WORD_AT = re.compile(BLANK_RUN), re.compile("[^\\x20\\x09-\\x0D]+")
 
 
 class Powers:
-    """Powers of BASE and of its inverse, modulo 2 ** 64."""
+    """Powers of BASE and of its inverse, modulo 2 ** 64. Those for one stretch and a shingle are kept."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 21)
-            one = np.ones(1, np.uint64)
-            self.up = np.concatenate([one, np.cumprod(np.full(n - 1, BASE))])
-            self.down = np.concatenate([one, np.cumprod(np.full(n - 1, np.uint64(pow(int(BASE), -1, 1 << 64))))])
-        return self.up, self.down
+        if n <= len(self.up):
+            return self.up, self.down
+        one, most = np.ones(1, np.uint64), max(n, 2 * STRETCH)
+        up = np.concatenate([one, np.cumprod(np.full(most - 1, BASE))])
+        down = np.concatenate([one, np.cumprod(np.full(most - 1, np.uint64(pow(int(BASE), -1, 1 << 64))))])
+        if most <= 2 * STRETCH:
+            self.up, self.down = up, down
+        return up, down
 
 
 POWERS = Powers()
@@ -104,17 +120,28 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def in_groups(texts: list[str | None], words: int, limit: int = 1 << 19) -> Iterator[np.ndarray]:
-    """shingle_sets() of texts, some at a time, so that what is held beside them stays small."""
-    group: list[str | None] = []
-    held = 0
-    for t in texts:
-        group.append(t)
-        held += len(t or "")
-        if held >= limit:
+def stretches(text: str, words: int, limit: int = STRETCH) -> list[str]:
+    """Parts of a text of about limit characters, cut at blanks, that hold each shingle whole: each goes words - 1 words into the next."""
+    out, at = [], 0
+    while True:
+        cut = BLANK_AT.search(text, at + limit)
+        if cut is None or not text[cut.start() :].strip(BLANKS):
+            return [*out, text[at:]]
+        end = cut.start()
+        for _ in range(words - 1):
+            word = WORD_AT.search(text, end)
+            end = word.end() if word else len(text)
+        out.append(text[at:end])
+        at = cut.start()
+
+
+def in_groups(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """shingle_sets() of an Arrow array of texts, some at a time, so that what is held beside them stays small."""
+    for group in text_groups(texts, STRETCH):
+        if len(group) == 1 and len(group[0]) > 2 * STRETCH:
+            yield np.unique(np.concatenate([s for part in stretches(group[0], words) for s in shingle_sets([part], words)]))
+        else:
             yield from shingle_sets(group, words)
-            group, held = [], 0
-    yield from shingle_sets(group, words)
 
 
 def bucket(shingles: np.ndarray) -> np.ndarray:
@@ -142,7 +169,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Dat
         names = ["_doc", "_n", "_member", "_block", "_counts"]
         for b in batches:
             sizes, members = [], []
-            for s in in_groups(b.column(1).to_pylist(), words):
+            for s in in_groups(b.column(1), words):
                 np.add.at(counts, bucket(s).astype(np.int64), 1)
                 sizes.append(len(s))
                 members.append(member(s) if len(s) else None)
@@ -207,7 +234,7 @@ def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
 
         levels = sketch.value
         for b in batches:
-            found = [posted(x, levels, percent) for x in in_groups(b.column(0).to_pylist(), words)]
+            found = [posted(x, levels, percent) for x in in_groups(b.column(0), words)]
             found = [x for x in found if x]
             yield pa.RecordBatch.from_pydict({"_member": pa.array([x[0] for x in found], pa.int64()), "_size": pa.array([x[1] for x in found], pa.int32()), "_tokens": pa.array([x[2] for x in found], pa.list_(pa.int64())), "_lows": pa.array([x[3] for x in found], pa.list_(pa.int32())), "_marks": pa.array([x[4] for x in found], pa.list_(pa.int64())), "_wide": pa.array([x[5] for x in found], pa.list_(pa.int64()))})
 
@@ -231,14 +258,14 @@ def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[row, bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def live_postings(posts: DataFrame) -> DataFrame:
-    """(_token, _member, _size, _at, _low, _marks) of the shingles that two members post or more.
+def live_postings(posts: DataFrame, percent: int) -> DataFrame:
+    """(_token, _many, _member, _size, _band, _at, _low) of the shingles by which members might meet: those that more than two post (_many), or two of like sizes.
 
-    Most shingles are posted once. Counting them shuffles nothing but the shingles; a bitmap of fixed size then keeps those of one
-    member from being shuffled with what the filters need, and a join the rest.
+    Most shingles are posted once. Counting them shuffles nothing but shingles and sizes; a bitmap of fixed size then keeps most of the others
+    from being shuffled with what the filters need, and a join the rest.
     """
-    shared = posts.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_token")
-    shared = stored(shared)
+    count = posts.select("_size", F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_n"), F.min("_size").cast("long").alias("_lo"), F.max("_size").cast("long").alias("_hi"))
+    shared = stored(count.filter((F.col("_n") > 2) | (F.col("_n") == 2) & (100 * F.col("_lo") >= percent * F.col("_hi"))).select("_token", (F.col("_n") > 2).alias("_many")))
     held = posts.sparkSession.sparkContext.broadcast(bitmap(shared, "_token"))
 
     def spread(batches: Iterator):
@@ -250,14 +277,14 @@ def live_postings(posts: DataFrame) -> DataFrame:
             n = np.diff(b.column(2).offsets.to_numpy())
             keep = is_set(bits, tokens)
             at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            lows = b.column(3).flatten().to_numpy()
-            repeat = lambda k: np.repeat(b.column(k).to_numpy(), n)[keep]
-            marks = np.repeat(b.column(4).flatten().to_numpy().reshape(-1, MARKS // 64), n, axis=0)[keep]
-            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (MARKS // 64)), pa.array(marks.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(repeat(0)), pa.array(repeat(1)), pa.array(at[keep].astype(np.int32)), pa.array(lows[keep]), marks], names=["_token", "_member", "_size", "_at", "_low", "_marks"])
+            rows = np.repeat(np.arange(b.num_rows), n)[keep]
+            each = [tokens[keep], b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], at[keep].astype(np.int32), b.column(3).flatten().to_numpy()[keep]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, each)), names=["_token", "_member", "_size", "_at", "_low"])
 
-    some = posts.select("_member", "_size", "_tokens", "_lows", "_marks").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int, _marks array<bigint>")
-    return stored(some.join(shared, "_token", "left_semi"))
+    some = posts.select("_member", "_size", "_tokens", "_lows").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int")
+    # A little wider than the ratio asked for, so that rounding parts no two sizes that may meet by more than one band.
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    return stored(some.join(shared, "_token").withColumn("_band", F.floor(F.log("_size") / width).cast("int")))
 
 
 def posted(s: np.ndarray, levels: np.ndarray, percent: int):
@@ -279,18 +306,22 @@ def member(s: np.ndarray) -> int:
     return int.from_bytes(signature(s)[:8], "little", signed=True)
 
 
-def may_link(a: str, b: str, percent: int):
+def may_link(a: str, b: str, percent: int) -> Column:
     """Whether two postings of one shingle leave their members a chance: by length, by place, and by what stands behind.
 
     Members that alike have overlap * (100 + percent) >= percent * (sum of sizes). Two that post a shingle share at most what
-    stands before the earlier of its places, the shingle, and of what stands behind it the smaller count in each half of the hash range. They differ in (100 - percent) / (100 + percent) of that sum at most.
+    stands before the earlier of its places, the shingle, and of what stands behind it the smaller count in each half of the hash range.
     """
     n, m = F.col(f"{a}._size").cast("long"), F.col(f"{b}._size").cast("long")
     i, j, low, down = (F.col(f"{x}.{c}") for c in ("_at", "_low") for x in (a, b))
     behind = F.least(low, down) + F.least(n - i - 1 - low, m - j - 1 - down)
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.least(i, j) + 1 + behind) * (100 + percent) >= percent * (n + m))
+
+
+def like_bits(a: str, b: str, percent: int) -> Column:
+    """Whether the parity bits of two members leave them a chance: alike, they differ in (100 - percent) / (100 + percent) of the sum of their sizes at most."""
     differ = sum((F.bit_count(F.get(f"{a}._marks", F.lit(k)).bitwiseXOR(F.get(f"{b}._marks", F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
-    alike = differ * (100 + percent) <= (100 - percent) * (n + m)
-    return alike & (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.least(i, j) + 1 + behind) * (100 + percent) >= percent * (n + m))
+    return differ * (100 + percent) <= (100 - percent) * (F.col(f"{a}._size").cast("long") + F.col(f"{b}._size"))
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -309,7 +340,7 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
             texts = b.column(1).filter(pa.array(is_set(bits, b.column(0).to_numpy())))
             for i in range(0, len(texts), 500):
                 found = []
-                for s in in_groups(texts[i : i + 500].to_pylist(), words):
+                for s in in_groups(texts[i : i + 500], words):
                     if len(s) and (m := member(s)) not in seen:
                         if len(seen) < 1 << 18:
                             seen.add(m)
@@ -320,12 +351,12 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def still_likely(pairs: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) but those of two large sets whose wide bitmaps differ too much."""
-    wide = posts.filter("_wide is not null").select("_member", "_size", "_wide")
-    x, y = (wide.select(F.col("_member").alias(k), F.col("_size").cast("long").alias(f"_n{k}"), F.col("_wide").alias(f"_w{k}")) for k in "ab")
-    differ = F.aggregate(F.zip_with("_wa", "_wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    apart = differ * (100 + percent) > (100 - percent) * (F.col("_na") + F.col("_nb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
+    """Pairs (a, b) but those whose bitmaps, or the wide ones of two large sets, differ too much."""
+    ends = posts.select("_member", "_size", "_marks", "_wide")
+    both = pairs.join(ends.withColumnRenamed("_member", "a").alias("x"), "a").join(ends.withColumnRenamed("_member", "b").alias("y"), "b")
+    differ = F.aggregate(F.zip_with("x._wide", "y._wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    apart = differ * (100 + percent) > (100 - percent) * (F.col("x._size").cast("long") + F.col("y._size"))
+    return both.filter(like_bits("x", "y", percent) & ~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -366,6 +397,41 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def star_pairs(now: DataFrame, rnd: int, percent: int) -> DataFrame:
+    """Candidates of a star round: in each group the members, and those of the band below, with one of the group."""
+    pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
+    hubs = now.groupBy("_token", "_band").agg(pick.alias("_hub")).select("_token", F.explode(F.array("_band", F.col("_band") - 1)).alias("_band"), "_hub.*")
+    return paired(now, hubs, F.col("p._band") == F.col("q._band"), (F.col("p._root") != F.col("q._root")) & may_link("p", "q", percent))
+
+
+def open_pairs(now: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the last round: all members of one group, or of two next to each other, with different roots."""
+    marked = stored(now.join(posts.select("_member", "_marks"), "_member"))
+    chance = may_link("p", "q", percent) & like_bits("p", "q", percent)
+    same = paired(marked, marked, F.col("p._band") == F.col("q._band"), (F.col("p._root") < F.col("q._root")) & chance)
+    near = paired(marked, marked, F.col("p._band") == F.col("q._band") + 1, (F.col("p._root") != F.col("q._root")) & chance)
+    return same.unionByName(near).distinct()
+
+
+def paired(p: DataFrame, q: DataFrame, bands: Column, chance: Column) -> DataFrame:
+    met = p.alias("p").join(q.alias("q"), (F.col("p._token") == F.col("q._token")) & bands).filter(chance)
+    return met.select(F.least("p._member", "q._member").alias("a"), F.greatest("p._member", "q._member").alias("b")).distinct()
+
+
+def still_open(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """live with _root, of the shingles of more than two postings whose members are not all in one component."""
+    rooted = live.filter("_many").join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member")).drop("root")
+    open_ = rooted.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo < _hi").select("_token")
+    return stored(rooted.join(open_, "_token", "left_semi"))
+
+
+def crowded(now: DataFrame) -> bool:
+    """Whether the last round would look at more than CROWD pairs a posting."""
+    n = F.col("_n")
+    total = now.groupBy("_token", "_band").agg(F.count(F.lit(1)).cast("double").alias("_n")).agg(F.sum(n), F.sum(n * (n - 1) / 2)).first()
+    return bool(total[0]) and total[1] > CROWD * total[0]
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(_doc, n_shingles, component_id) for each row of docs: component_id is the smallest id that links lead to, its own included.
 
@@ -375,38 +441,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rows, partial = signed(docs, id_col, text_col, words)
     sketch = spark.sparkContext.broadcast(summed(partial))
     posts = prefixes(docs, sketch, text_col, words, percent)
-    live = live_postings(posts)
+    live = live_postings(posts, percent)
     roots = spark.createDataFrame([], "node bigint, root bigint")
     links = spark.createDataFrame([], "a bigint, b bigint")
     tried = links
-    for rnd in range(STAR_ROUNDS + 1):
-        now = live.join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member")).drop("root") if rnd else live.withColumn("_root", F.col("_member"))
-        last = rnd == STAR_ROUNDS
-        if last:
-            # Only shingles whose members are still in different components.
-            open_ = now.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo < _hi").select("_token")
-            now = now.join(open_, "_token", "left_semi")
-            hubs, order = now, F.col("p._root") < F.col("q._root")
-        else:
-            pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_marks", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
-            hubs = now.groupBy("_token").agg(pick.alias("_hub")).select("_token", "_hub.*")
-            order = F.col("p._root") != F.col("q._root")
-        pairs = now.alias("p").join(hubs.alias("q"), F.col("p._token") == F.col("q._token")).filter(order & may_link("p", "q", percent))
-        pairs = pairs.select(F.least("p._member", "q._member").alias("a"), F.greatest("p._member", "q._member").alias("b")).distinct()
+    rnd, last, now = 0, False, live.withColumn("_root", F.col("_member"))
+    while True:
+        released(spark)
+        pairs = open_pairs(now, posts, percent) if last else star_pairs(now, rnd, percent)
         if rnd:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(still_likely(pairs, posts, percent))
-        if pairs.isEmpty():
-            continue
         tried = tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("_member")).unionByName(pairs.select(F.col("b").alias("_member"))).distinct()
-        # Both sides of the pairs read the same exchange of sets.
-        found = stored(verified(pairs, whole_sets(docs, rows, wanted, id_col, text_col, words), percent).distinct())
-        if not found.isEmpty():
+        found = links.limit(0)
+        if not pairs.isEmpty():
+            # Both sides of the pairs read the same exchange of sets.
+            found = stored(verified(pairs, whole_sets(docs, rows, wanted, id_col, text_col, words), percent).distinct())
+        more = not found.isEmpty()
+        if more:
             links = links.unionByName(found)
             # To the end, as members that still had different roots would meet again in the next round.
             roots = stored(components(links))
+        if last:
+            break
+        rnd += 1
+        now = still_open(live, roots)
+        last = rnd == STAR_ROUNDS or not more or not crowded(now)
     classed = rows.join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member"))
     lowest = classed.filter("_root is not null").groupBy("_root").agg(F.min("_doc").alias("_least"))
     return classed.join(lowest, "_root", "left").select("_doc", F.col("_n").alias("n_shingles"), F.coalesce("_least", "_doc").alias("component_id"))
-
