@@ -176,7 +176,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[Dat
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(members, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
-            parts = [level(x).tobytes() for x in np.split(counts, BLOCKS)]
+            parts = [packed(level(x)) for x in np.split(counts, BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, id_type), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -192,6 +192,19 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.ceil(LEVELS * np.log2(counts.astype(np.float64) + 1)).clip(0, 255).astype(np.uint8)
 
 
+def packed(levels: np.ndarray) -> bytes:
+    """A block of levels, compressed, as a small task leaves most counters at nothing."""
+    import pyarrow as pa
+
+    return pa.compress(levels.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(raw, SKETCH // BLOCKS, codec="zstd", asbytes=True), np.uint8)
+
+
 def summed(partial: DataFrame) -> np.ndarray:
     """The levels of the whole corpus' counts: SKETCH bytes, whatever the input."""
 
@@ -202,14 +215,14 @@ def summed(partial: DataFrame) -> np.ndarray:
         at, held = None, None
         for b in batches:
             for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.exp2(np.frombuffer(raw, np.uint8) / LEVELS) - 1
+                x = np.exp2(unpacked(raw) / LEVELS) - 1
                 if block != at:
                     if held is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level(held).tobytes()], pa.binary())], names=["_block", "_counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(level(held))], pa.binary())], names=["_block", "_counts"])
                     at, held = block, np.zeros(len(x))
                 held = held + x
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level(held).tobytes()], pa.binary())], names=["_block", "_counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(level(held))], pa.binary())], names=["_block", "_counts"])
 
     schema = "_block int, _counts binary"
     # Sums are formed within each of some tasks first, then across them.
@@ -218,7 +231,7 @@ def summed(partial: DataFrame) -> np.ndarray:
     rows = once.repartition("_block").sortWithinPartitions("_block").mapInArrow(add, schema).collect()
     out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint8)
     for r in rows:
-        out[r["_block"]] = np.frombuffer(r["_counts"], np.uint8)
+        out[r["_block"]] = unpacked(r["_counts"])
     return out.reshape(-1)
 
 
