@@ -1,13 +1,12 @@
 """Byte-level BPE: encoding of whole texts, long ones by tree concatenation, and decoding.
 
 A position between a character and a following blank is one across which no token reaches, so texts are cut there and the
-pieces looked up in a table of known ones; the library encodes the others. A long text is cut into leaves that tasks encode
-apart. Leaves that meet at such a position agree as they are. Where a text has none (long unsplit runs), leaves are cut
-between any two characters and joined in a tree: the words around a join are formed again over a growing window until the
-window's outer words are those of both sides; a word that runs through the join is encoded from its halves, whose tokens
+pieces looked up in a table of known ones; the library encodes the others. A text too long for that is cut into leaves of equal length, between
+any two characters wherever that is, which tasks encode apart and a tree joins, halves first: the words around a join are formed
+again over a growing window until the window's outer words are those of both sides; a word that runs through the join is encoded from its halves, whose tokens
 are merged again over a growing window until its outer tokens are those of both sides. A sequence of BPE tokens is the
 encoding of its bytes exactly if each neighbouring pair is the encoding of its own bytes, so agreement at both ends of the
-window makes the whole exact.
+window makes the whole exact. A piece without a sure position that is longer than a leaf goes the same way, whatever its text's length.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; repeated rows are encoded each; columns
 besides the text pass through unchanged, but for ones named as an output, which are replaced; an empty table gives an empty
@@ -28,10 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes from which a text is encoded in leaves by several tasks, and of one leaf. Entries of the table of known pieces, and the characters of the longest one there.
-LONG_BYTES, LEAF_CHARS, KNOWN, KNOWN_CHARS = 1 << 16, 1 << 14, 400_000, 64
+from docweave.llm.common import text_groups
+
+#: Bytes from which a text is encoded in leaves by several tasks, and of one leaf. Entries of a generation of known pieces, and the characters of the longest one there.
+LONG_BYTES, LEAF_CHARS, KNOWN, KNOWN_CHARS = 1 << 16, 1 << 14, 100_000, 64
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 1 << 20
 #: Where a blank follows white space and stands before more of it, a cut before the blank could change the words.
 UNSURE = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
+#: A stop behind such letters is a word of its own, and so are the letters.
+STOPS, LETTERS_TO = ",.;:!?", "\u024f"
 SURE = re.compile(r"(?<=[^\s᠎])(?= )")
 OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
@@ -43,6 +48,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Known:
+    """The ids of pieces met of late, in two generations of at most KNOWN: when the newer one is full, the older one goes."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def put(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self.new) >= KNOWN:
+            self.old, self.new = self.new, {}
+        self.new[piece] = ids
+
+
 class Codec:
     """The tokenizer in a file of the tokenizers library, byte-level without a prefix space."""
 
@@ -58,8 +76,7 @@ class Codec:
         if conf["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
             raise ValueError(f"{path} isn't a byte-level tokenizer without normalizer and prefix space")
         self.special = {t["content"]: t["id"] for t in conf["added_tokens"]}
-        self.known: dict[str, list[int]] = {}
-        self.after: dict[str, list[int]] = {}  # of pieces that follow a blank, which their keys leave out
+        self.known, self.after = Known(), Known()  # after: of pieces that follow a blank, which their keys leave out
         self.letters = byte_alphabet()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
 
@@ -72,6 +89,15 @@ class Codec:
             out[i] = token.encode() if token in self.special else bytes(self.bytes_of[c] for c in token)
         return out
 
+    @cached_property
+    def stops(self) -> dict[str, tuple[int, ...]]:
+        return {c: tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in STOPS}
+
+    @cached_property
+    def numbers(self) -> list[int]:
+        """The ids, so that known pieces share them."""
+        return list(range(len(self.table)))
+
     @cached_property
     def numerals(self) -> list[str]:
         return [str(i) for i in range(len(self.table))]
@@ -87,28 +113,34 @@ class Codec:
         if not text:
             return []
         if UNSURE.search(text):
-            return list(chain.from_iterable(map(self._piece, SURE.split(text))))
+            return list(chain.from_iterable(self._pieces(self.known, SURE.split(text))))
         first, *rest = text.split(" ")
-        try:
-            return list(chain(self._piece(first), *map(self.after.__getitem__, rest)))
-        except KeyError:
-            for p in rest:
-                if p not in self.after:
-                    self._keep(self.after, p, " " + p)
-            after = self.after
-            return list(chain(self._piece(first), *(after[p] if p in after else self._whole(" " + p) for p in rest)))
-
-    def _keep(self, known: dict[str, list[int]], key: str, piece: str) -> list[int]:
-        ids = self._whole(piece) if piece else []
-        if len(piece) <= KNOWN_CHARS:
-            if len(known) >= KNOWN // 2:
-                known.clear()
-            known[key] = ids
-        return ids
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.known.get(piece)
-        return self._keep(self.known, piece, piece) if got is None else got
+        return list(chain(*self._pieces(self.known, [first]), *self._pieces(self.after, rest, " ")))
+
+    def _pieces(self, known: Known, keys: list[str], before: str = "") -> list[tuple[int, ...]]:
+        """The ids of each piece, from the table or by the library."""
+        got = list(map(known.new.get, keys))
+        if None not in got:
+            return got
+        missing = {k for k, ids in zip(keys, got, strict=True) if ids is None}
+        stems = {k: k[:-1] for k in missing if k[-1:] in STOPS and k[:-1].isalpha() and max(k) <= LETTERS_TO}
+        found: dict[str, tuple[int, ...]] = {}
+        rest = []
+        for k in {stems.get(k, k) for k in missing}:
+            ids = known.new.get(k) or known.old.get(k)
+            if ids is None:
+                rest.append(k)
+            else:
+                found[k] = ids
+        short = [k for k in rest if len(k) < self.leaf_chars]
+        encoded = self.tokenizer.encode_batch_fast([before + k for k in short], add_special_tokens=False)
+        found.update(zip(short, (tuple(map(self.numbers.__getitem__, e.ids)) for e in encoded), strict=True))
+        found.update((k, tuple(self._whole(before + k))) for k in rest if k not in found)
+        for k, ids in found.items():
+            if len(k) <= KNOWN_CHARS:
+                known.put(k, ids)
+        found.update((k, found[stem] + self.stops[k[-1]]) for k, stem in stems.items())
+        return [found[k] if ids is None else ids for k, ids in zip(keys, got, strict=True)]
 
     def _whole(self, piece: str) -> list[int]:
         """A piece between sure positions: by the library, or in a tree if long."""
@@ -129,14 +161,9 @@ class Codec:
                 out.append((part, False))
                 at = len(part)
             while at < len(part):
-                end, sure = min(at + self.leaf_chars, len(part)), True
-                if end < len(part):
-                    back = part.rfind(" ", at + 1, end + 1)
-                    while back > 0 and not SURE.match(part, back):
-                        back = part.rfind(" ", at + 1, back)
-                    end, sure = (back, True) if back > 0 else (end, False)
+                end = min(at + self.leaf_chars, len(part))
                 out.append((part[at:end], glued))
-                at, glued = end, not sure
+                at, glued = end, True
         return out
 
     def leaf(self, text: str) -> tuple[list[int], list[int]]:
@@ -238,7 +265,8 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), text
     def short(batches):
         codec = codec_at(path, leaf_chars)
         for b in batches:
-            yield answered(codec, b, range(b.num_columns - 1), map(codec.encode, b.column(b.num_columns - 1).to_pylist()), made, outputs)
+            texts = chain.from_iterable(text_groups(b.column(b.num_columns - 1), BATCH_BYTES))
+            yield answered(codec, b, range(b.num_columns - 1), map(codec.encode, texts), made, outputs)
 
     def cut(batches):
         import pyarrow as pa
