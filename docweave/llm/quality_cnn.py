@@ -21,10 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.common import text_groups
+
 WIDTH, FILTERS, CHUNK, PAD = 5, 8, 512, 256
 HALF = CHUNK // 2
-#: Halves that are convolved at once.
-BLOCK = 256
+#: Halves that are convolved at once, and bytes of the texts that are scored together.
+BLOCK, BATCH_BYTES = 256, 1 << 19
 SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, BATCH, RATE, SHRINK = 2400, 1 << 15, 8, 48, 0.03, 1e-4
 
 
@@ -138,10 +140,10 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Network:
     """A network trained on labelled rows of docs that aren't held out: of the first max_rows labels by the id's md5, those with texts of at most max_bytes.
 
-    Of several such texts with one id, the one with the least hash is taken.
+    Of several such texts with one id, the one with the least hash is taken, and of several labels the lower one.
     """
     told = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out("_id") & F.col("_id").isNotNull())
-    some = told.dropDuplicates(["_id"]).orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_rows)
+    some = told.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).filter(F.octet_length("_text") <= max_bytes)
     # At most max_rows ids: small enough to send to every task.
     each = texts.join(F.broadcast(some), "_id").groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("_least"))
@@ -166,8 +168,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", to: str = "scor
         net = pickle.loads(held.value)
         for b in batches:
             text, found = b.column(b.num_columns - 1), [np.zeros(0)]
-            for i in range(0, len(text), 256):
-                found.append(net.score(text[i : i + 256].to_pylist()))
+            found += map(net.score, text_groups(text, BATCH_BYTES))
             yield pa.RecordBatch.from_arrays([*b.columns[: None if keep_text else -1], pa.array(np.concatenate(found))], names=names)
 
     return fed.mapInArrow(run, T.StructType([*(fed.schema[c] for c in names[:-1]), T.StructField(to, T.DoubleType())]))
