@@ -101,6 +101,23 @@ def mix(docs: DataFrame, margins: list[str], tokens: str, id_col: str = "doc_id"
     return made.withColumn("_rate", F.coalesce("_rate", F.lit(0.0))).withColumn("_kept", uniform(id_col, seed) < F.col("_rate"))
 
 
+def report(mixed: DataFrame, margins: list[str], tokens: str, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(margin, value, target, expected, held): what share of the sample's tokens each value is expected to have, and the part of all tokens that the sample holds.
+
+    So targets that cells cannot meet show, whether as a smaller sample or as shares that are off.
+    """
+    cells = mixed.groupBy(*margins).agg(F.sum(F.col(tokens).cast("bigint")).alias("_tokens"), F.sum(F.col(tokens) * F.col("_rate")).alias("_given"))
+    total = cells.agg(F.nullif(F.sum("_given"), F.lit(0.0)).alias("_all"), (F.sum("_given") / F.nullif(F.sum("_tokens"), F.lit(0))).alias("held"))
+    out: DataFrame | None = None
+    for m in margins:
+        want = (targets or {}).get(m) or softened(cells, m)
+        have = cells.groupBy(F.col(m).alias("_value")).agg(F.sum("_given").alias("_given"))
+        both = want.join(have, F.col("value").eqNullSafe(F.col("_value")), "full").crossJoin(F.broadcast(total))  # one row
+        one = both.select(F.lit(m).alias("margin"), F.coalesce("value", "_value").cast("string").alias("value"), F.coalesce("share", F.lit(0.0)).alias("target"), F.coalesce(F.col("_given") / F.col("_all"), F.lit(0.0)).alias("expected"), "held")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def topic(text: Column) -> Column:
     """A topic of documents that name none: by what they look like."""
     size = F.char_length(text)

@@ -51,12 +51,21 @@ def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    """The same raking as a chain of common table expressions over the cells."""
-    steps = ["w0 AS (SELECT cells.*, n::DOUBLE AS w, " + ", ".join(f"t_{m}.share AS s_{m}" for m in MARGINS) + " FROM cells" + "".join(f" LEFT JOIN t_{m} ON cells.{m} IS NOT DISTINCT FROM t_{m}.{m}" for m in MARGINS) + ")"]
+    """The same bounded raking as a chain of common table expressions over the cells, each at every share that is tried (step 0: without bounds)."""
+    held = "CASE WHEN step > 0 THEN least(w, has) ELSE w END"
+    steps = [
+        f"w0 AS (SELECT cells.source, cells.lang, cells.topic, i AS step, CASE WHEN i = 0 THEN 1 ELSE i * {mixing.SHARE!r}::DOUBLE / {mixing.STEPS} END AS total, n / whole.n_all AS has, n / whole.n_all AS w, "
+        + ", ".join(f"t_{m}.share AS s_{m}" for m in MARGINS)
+        + f" FROM cells, (SELECT nullif(sum(n), 0)::DOUBLE AS n_all FROM cells) whole, range(0, {mixing.STEPS + 1}) tries(i)"
+        + "".join(f" LEFT JOIN t_{m} ON cells.{m} IS NOT DISTINCT FROM t_{m}.{m}" for m in MARGINS)
+        + ")"
+    ]
     for i in range(mixing.ROUNDS * len(MARGINS)):
         m = MARGINS[i % len(MARGINS)]
-        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * coalesce(s_{m}, 0) / sum(w) OVER (PARTITION BY {m}) ELSE 0 END AS w) FROM w{i})")
+        have = f"sum({held}) OVER (PARTITION BY step, {m})"
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {have} > 0 THEN w * total * coalesce(s_{m}, 0) / {have} ELSE 0 END AS w) FROM w{i})")
     shares = [f"t_{m} AS (SELECT {m}, sqrt(sum(n)) / sum(sqrt(sum(n))) OVER () AS share FROM cells GROUP BY {m})" for m in MARGINS]
+    tests = " UNION ALL ".join(f"SELECT step, total, abs(sum(g) - total * sum(free)) <= {mixing.OFF!r}::DOUBLE * total * sum(free) AS holds FROM f WHERE step > 0 GROUP BY step, total, {m}" for m in MARGINS)
     return rf"""
 WITH d AS (
   SELECT doc_id, source, lang, CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'tables' WHEN length(coalesce(text, '')) < 1000 THEN 'notes' WHEN length(coalesce(text, '')) < 8000 THEN 'articles' ELSE 'books' END AS topic,
@@ -64,7 +73,12 @@ WITH d AS (
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n FROM d GROUP BY ALL),
 {", ".join(shares)},
 {", ".join(steps)},
-r AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(1, w * sum(n) OVER () * {mixing.SHARE!r}::DOUBLE / n) ELSE 0 END AS rate FROM w{mixing.ROUNDS * len(MARGINS)})
+f AS MATERIALIZED (SELECT *, {held} AS g, max(CASE WHEN step = 0 THEN w END) OVER (PARTITION BY source, lang, topic) AS free FROM w{mixing.ROUNDS * len(MARGINS)}),
+tests AS ({tests}),
+best AS (SELECT max(total) AS largest, max(step) AS step FROM (SELECT step, total FROM tests GROUP BY step, total HAVING bool_and(coalesce(holds, true)))),
+scaled AS (SELECT coalesce(least({mixing.SHARE!r}, 1 / nullif(max(g / has), 0)), {mixing.SHARE!r}) AS scale FROM f WHERE step = 0 AND has > 0),
+chosen AS (SELECT scale, CASE WHEN largest > scale THEN step ELSE 0 END AS step FROM best, scaled),
+r AS (SELECT source, lang, topic, CASE WHEN has > 0 THEN least(1, CASE WHEN f.step = 0 THEN g * scale ELSE g END / has) ELSE 0 END AS rate FROM f JOIN chosen ON f.step = chosen.step)
 SELECT doc_id, d.topic, n_tokens, round(rate * 1000000)::BIGINT AS rate_ppm,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < rate AS kept
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.lang IS NOT DISTINCT FROM r.lang AND d.topic = r.topic
