@@ -1,8 +1,8 @@
 """Chat formatting of reply trees.
 
 Messages name their parent; pointers to ancestors are doubled by self-joins (parent, grandparent, fourth, eighth ...) until all lead
-out of their tree, and with each round the known part of every leaf's path to its root doubles too. So a path of n messages
-takes log2(n) rounds, and no round gathers a tree in one task. Paths are ranked in their tree by the mean score of their
+out of their tree, and with each of them the known part of every leaf's path to its root doubles too. So a path of n messages
+takes log2(n) rounds, and no round gathers a tree in one task. A pointer over more messages than the largest tree has leads into a cycle. Paths are ranked in their tree by the mean score of their
 messages, and each chosen path is formatted as one conversation.
 
 A turn is <|im_start|>role, a line break, the text, <|im_end|> and a line break. Inside roles and texts a backslash is doubled and
@@ -10,7 +10,7 @@ A turn is <|im_start|>role, a line break, the text, <|im_end|> and a line break.
 of what assistants say, without the marks around it.
 
 Defined results: null roles and texts are empty; a message whose parent is null or not in the tree is a root; messages that share an id in a tree
-are told apart and each takes part, as a parent the least of them; a cycle of parents has no root and no leaf, and its messages are not on any path;
+are told apart and each takes part, as a parent the least of them; a cycle of parents has no root, so that neither its messages nor those that lead into it are on any path;
 null scores count as 0, ties in rank go to the path whose leaf comes first; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -51,16 +51,19 @@ def leaf_paths(rows: DataFrame, keep: int | None = None) -> DataFrame:
     up = stored(rows.join(known, F.col("_tree").eqNullSafe(F.col("_t")) & (F.col("_parent") == F.col("_i"))).select("_row", "_to").filter("_row <> _to"))
     parents = up.select(F.col("_to").alias("_row")).distinct()
     leaves = rows.join(parents, "_row", "left_anti")
-    paths = stored(leaves.select(F.col("_row").alias("_leaf"), F.col("_row").alias("_node"), F.lit(0).cast("long").alias("_up")))
-    hop = 1
-    while not up.isEmpty() and hop <= 1 << 40:
-        further = paths.join(up.withColumnRenamed("_row", "_node"), "_node").select("_leaf", F.col("_to").alias("_node"), (F.col("_up") + hop).alias("_up"))
-        longer = stored(paths.unionByName(further))
-        if hop >= 1 << 20 and longer.count() == paths.count():
-            break  # only cycles are left, which no leaf leads into
-        paths = longer
+    # One number, whatever the input.
+    largest = rows.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0
+    levels = []
+    while not up.isEmpty():
+        if 1 << len(levels) >= largest:
+            leaves = leaves.join(up.select("_row"), "_row", "left_anti")
+            break
+        levels.append(up)
         up = stored(up.alias("x").join(up.alias("y"), F.col("x._to") == F.col("y._row")).select("x._row", "y._to"))
-        hop *= 2
+    paths = stored(leaves.select(F.col("_row").alias("_leaf"), F.col("_row").alias("_node"), F.lit(0).cast("long").alias("_up")))
+    for k, level in enumerate(levels):
+        further = paths.join(level.withColumnRenamed("_row", "_node"), "_node").select("_leaf", F.col("_to").alias("_node"), (F.col("_up") + (1 << k)).alias("_up"))
+        paths = stored(paths.unionByName(further))
     means = paths.join(rows.select(F.col("_row").alias("_node"), "_score"), "_node").groupBy("_leaf").agg(F.avg("_score").alias("_mean"))
     ranked = leaves.select(F.col("_row").alias("_leaf"), "_tree", "_id").join(means, "_leaf").withColumn("_rank", F.row_number().over(Window.partitionBy("_tree").orderBy(F.desc("_mean"), "_id", "_leaf")))
     if keep is not None:
