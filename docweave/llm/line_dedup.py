@@ -36,7 +36,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_hash"), F.posexplode(line_keys(F.split(text, "\n", -1))).alias("_at", "_key"))
     rows = rows.filter(F.char_length("_key") >= max(min_key_chars, 1)).select(F.xxhash64("_key").alias("_line"), "_doc", "_hash", "_at")
     ranged = rows.repartitionByRange("_line", "_doc", "_hash").sortWithinPartitions("_line", "_doc", "_hash", "_at")
-    runs = stored(ranged.groupBy("_line", "_doc", "_hash").agg(F.sort_array(F.collect_list("_at")).alias("_ats")))
+    runs = stored(ranged.groupBy("_line", "_doc", "_hash").agg(F.sort_array(F.collect_set("_at")).alias("_ats")))
     first = F.min(F.struct("_doc", "_hash", F.get("_ats", F.lit(0)).alias("at"))).alias("_first")
     common = runs.groupBy("_line").agg(F.count(F.lit(1)).alias("_docs"), first).filter(F.col("_docs") >= min_docs)
     if keep_first:
