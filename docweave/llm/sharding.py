@@ -6,7 +6,7 @@ until the table is full; so their shares differ by one slot at most, and when a
 key's slot is its hash modulo the size. The table's size is a parameter, whatever the input, and so is safe to broadcast.
 
 Defined results: a null key is hashed as Spark hashes null and placed like any other; repeated rows are placed alike; other columns
-pass through, but for slot and shard, which are replaced; an empty table gives an empty result.
+pass through, but for slot and shard, which are replaced (either may be the key); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,5 +49,7 @@ def place(rows: DataFrame, key: str, shards: list[str], size: int = SIZE) -> Dat
 
     owner = lookup_table(shards, size)
     slots = rows.sparkSession.createDataFrame(pa.table({"slot": pa.array(range(size), pa.int32()), "shard": [shards[i] for i in owner]}))
-    keyed = rows.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(key), F.lit(size)).cast("int"))
-    return keyed.join(F.broadcast(slots), "slot").select(*(f"`{c}`" for c in rows.columns if c not in ("slot", "shard")), "slot", "shard")
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")]
+    # The key may be a column of one of these names.
+    keyed = rows.select(*rest, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(size)).cast("int").alias("slot"))
+    return keyed.join(F.broadcast(slots), "slot").select(*rest, "slot", "shard")
