@@ -2,8 +2,8 @@
 
 A text is cut where no token can reach across, the lengths of what lies between are looked up, and what has not been seen
 before is encoded by the library in batches of about equal bytes. A library file (.json) whose pre-tokenizer drops white
-space can be cut at every blank, which also cuts long texts into pieces that need no memory to speak of; where there is no
-blank at all, the piece is encoded whole, as is every text for a .model file, whose pieces may span words.
+space can be cut at every blank, which also cuts long texts into pieces that need no memory to speak of; a piece of over LONG_PIECE bytes without a
+blank is cut at its digits too, and is encoded whole where it has none, as is every text for a .model file, whose pieces may span words.
 
 Defined results: a null or empty text has no tokens; repeated rows are counted each; other columns pass through unchanged,
 but for ones named as an output, which are replaced; an empty table gives an empty result.
@@ -11,6 +11,7 @@ but for ones named as an output, which are replaced; an empty table gives an emp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,8 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.llm.common import text_groups
+
 #: Entries of a worker's table of known pieces (it takes no more when full), bytes of the longest piece put there, and the bytes of one batch for the library.
 KNOWN, KNOWN_BYTES, BATCH_BYTES = 700_000, 32, 1 << 20
+#: Bytes of the texts that are looked up together.
+GROUP_BYTES = 1 << 22
+
+#: A longer piece is cut at digits too: each is a word of its own, so that no token reaches across either of its sides.
+LONG_PIECE, DIGITS = 1 << 16, re.compile(rb"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def by_bytes(pieces: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
@@ -36,13 +44,13 @@ def by_bytes(pieces: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[byt
         yield batch
 
 
-def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool, bool]:
-    """The tokenizer at path as a function from pieces to lengths, whether it may be fed pieces between blanks, and whether it lower-cases."""
+def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool, bool, bool]:
+    """The tokenizer at path as a function from pieces to lengths, whether it may be fed pieces between blanks, whether it lower-cases, and whether each digit is a word."""
     if path.endswith(".model"):
         import sentencepiece
 
         piece = sentencepiece.SentencePieceProcessor(model_file=path)
-        return (lambda xs: [len(i) for i in piece.encode([x.decode() for x in xs], num_threads=1)]), False, False
+        return (lambda xs: [len(i) for i in piece.encode([x.decode() for x in xs], num_threads=1)]), False, False, False
     import json
     import os
 
@@ -59,18 +67,19 @@ def library_lengths(path: str) -> tuple[Callable[[list[bytes]], list[int]], bool
     # Special strings are looked for before the text is lower-cased, so they must be without capitals.
     lower = any(s["type"] == "Lowercase" for s in (conf["normalizer"] or {}).get("normalizers", [])) and all(t["content"] == t["content"].lower() for t in conf["added_tokens"])
     special = [t["content"].encode() for t in conf["added_tokens"]]
+    digits = words and any(r"[\p{L}]+|[\p{N}]|" in s["pattern"].get("Regex", "") for s in steps if s["type"] == "Split") and not any(48 <= c <= 57 for t in special for c in t)
 
     def lengths(xs: list[bytes]) -> list[int]:
         return [len(e.ids) for e in tokenizer.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)]
 
-    return lengths, words, lower and not any(any(65 <= c <= 90 for c in s) for s in special)
+    return lengths, words, lower and not any(any(65 <= c <= 90 for c in s) for s in special), digits
 
 
 class Lengths:
     """Counts tokens of texts, keeping the lengths of pieces it has met."""
 
     def __init__(self, path: str):
-        self.lengths, self.words, self.lower = library_lengths(path)
+        self.lengths, self.words, self.lower, self.digits = library_lengths(path)
         self.known: dict[bytes, int] = {}
         self.stop = dict(zip((b",", b"."), self.lengths([b",", b"."]), strict=True)) if self.words else {}
 
@@ -87,6 +96,8 @@ class Lengths:
         for t in texts:
             # A text with special strings keeps its capitals, lest it seem to hold more of them.
             pieces = [] if not t else t.encode().lower().split() if self.lower and "<|" not in t else t.encode().split()
+            if self.digits and len(t or "") > LONG_PIECE and max(map(len, pieces), default=0) > LONG_PIECE:
+                pieces = [x for p in pieces for x in (DIGITS.split(p) if len(p) > LONG_PIECE else (p,))]
             n = list(map(known.get, pieces))
             if None in n:
                 rest = [p for p, k in zip(pieces, n, strict=True) if k is None]
@@ -142,7 +153,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
         lengths = lengths_at(path)
         for b in batches:
             text = b.column(b.num_columns - 1)
-            n = pa.array(lengths.of(text.to_pylist()), pa.int64())
+            n = pa.array([k for group in text_groups(text, GROUP_BYTES) for k in lengths.of(group)], pa.int64())
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, n, pc.greater(n, limit)], names=[*rest, "n_bytes", "n_tokens", "over_limit"])
 
