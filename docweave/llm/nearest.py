@@ -1,17 +1,17 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample of vectors a neighbour graph is formed and cut in halves again and again, each time at the median of the
-slowest vector of a random walk on the graph, so that parts are of one size and neighbours stay together. A small
-network learns from the sample's parts, and its neighbours' parts, where a vector belongs. Every vector is indexed in its most
+On a bounded sample of vectors a graph of neighbours by inner product is formed and cut in halves again and again, each time at the median of the
+slowest vector of a random walk on the graph, so that parts are of one size and neighbours stay together. There is a part for each PART rows or so,
+from 2 ** LEVELS to 2 ** MOST_LEVELS. A small network learns from the sample's parts, and its neighbours' parts, where a vector belongs by its direction and length. Every vector is indexed in its most
 probable part; a query visits as many parts as the sample says are needed for the recall asked for, and what it finds is
-reranked by inner products in double precision on the original vectors.
+reranked by inner products in double precision on the original vectors. A query whose parts hold fewer than it asks for visits all the others too.
 
 Within a part, queries and candidates meet in blocks of bounded size, so a part that holds a third of all vectors is only more
 blocks. Each block gives a query its nearest few, which are merged by a window over a bounded number of rows a query.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or holding null or non-finite components take no part; all
 other rows can be found, those with a repeated or null id too; of queries with the same id one is asked, the least vector; a query finds no row
-of its own id; with fewer candidates than asked for it gets what its parts hold; ties go to the smaller id, and to a null last; an empty
+of its own id; with fewer candidates than asked for it gets all of them; ties go to the smaller id, and to a null last; an empty
 table gives an empty result. Other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import stored
 
-SAMPLE, LEVELS, NEIGHBOURS, RECALL, HIDDEN, EPOCHS, BLOCK = 6000, 4, 20, 0.97, 96, 40, 2048
+SAMPLE, LEVELS, MOST_LEVELS, PART, NEIGHBOURS, RECALL, HIDDEN, EPOCHS, BLOCK = 6000, 4, 8, 1 << 16, 20, 0.97, 96, 40, 2048
 
 
 def usable(v: str) -> Column:
@@ -71,24 +71,30 @@ def halved(near: np.ndarray, rows: np.ndarray, levels: int, rng, steps: int = 60
 
 @dataclass
 class Router:
-    """A network of one hidden layer from a vector's direction to the log-probabilities of parts, and how many parts to visit."""
+    """A network of one hidden layer from a vector's direction and length to the log-probabilities of parts, and how many parts to visit."""
 
     layers: list[np.ndarray]
     visits: int
+    length: float = 1.0
+
+    def seen(self, x: np.ndarray) -> np.ndarray:
+        """What the network is shown: the direction, and the length beside a usual one's."""
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.concatenate([x / n, np.log(n / self.length)], axis=1).astype(np.float32)
 
     def ranked(self, x: np.ndarray, n: int) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
-        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        return np.argsort(-(np.maximum(unit @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")[:, :n]
+        return np.argsort(-(np.maximum(self.seen(x) @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")[:, :n]
 
 
 def fit(x: np.ndarray, levels: int = LEVELS, recall: float = RECALL, k: int = NEIGHBOURS, seed: int = 3) -> Router:
     rng = np.random.default_rng(seed)
-    dim, parts = x.shape[1], 2**levels
+    dim, parts = x.shape[1] + 1, 2**levels
     if len(x) < 4 * parts:  # too few to learn from: one part
         return Router([np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)], 1)
-    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    near = neighbours(unit, min(k, len(x) - 1))
+    near = neighbours(x, min(k, len(x) - 1))
+    router = Router([], parts, float(np.median(np.linalg.norm(x, axis=1))))
+    unit = router.seen(x)
     part = halved(near, np.arange(len(x)), levels, rng)
     soft = np.zeros((len(x), parts), np.float32)
     soft[np.arange(len(x)), part] = 1
@@ -109,7 +115,7 @@ def fit(x: np.ndarray, levels: int = LEVELS, recall: float = RECALL, k: int = NE
                 a += 0.1 * (grad - a)
                 b += 0.001 * (grad * grad - b)
                 q -= 0.005 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    router = Router(net, parts)
+    router.layers = net
     ranks = router.ranked(x, parts)
     home = ranks[:, 0]
     place = np.empty_like(ranks)
@@ -140,13 +146,15 @@ def best(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: np.nd
         yield q_ids[i], c_ids[at[first]], c_none[at[first]], s[first]
 
 
-def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, levels: int = LEVELS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, levels: int | None = None, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is_query takes for one, nearest first."""
     spark = rows.sparkSession
     clean = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter(usable("_v"))
     # The sample takes an id once, however often it is repeated.
     once = clean.filter("_id is not null").groupBy("_id").agg(F.min("_v").alias("_v")).unionByName(clean.filter("_id is null"))
     some = once.orderBy(F.when(F.col("_id").isNull(), F.xxhash64("_v")).otherwise(F.xxhash64("_id")), "_id", "_v").limit(sample).collect()
+    if levels is None:
+        levels = min(max(LEVELS, (clean.count() // PART).bit_length()), MOST_LEVELS)
     dim = Counter(len(r["_v"]) for r in some).most_common(1)[0][0] if some else 0
     router = fit(np.array([r["_v"] for r in some if len(r["_v"]) == dim]), levels, recall) if some else fit(np.zeros((0, 1)), levels)
     held = spark.sparkContext.broadcast(router)
@@ -169,8 +177,24 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, i
     sizes = {r["_part"]: r["n"] for r in home.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     asking = routed.filter("_asked").groupBy("_id").agg(F.min(F.struct("_v", "_row", "_parts")).alias("_least")).select("_id", "_least.*")
     visits = asking.select("_id", "_v", "_row", F.explode("_parts").alias("_part"))
+    found = stored(nearest_in(visits, home, sizes, 2**levels, dim, k, block))
+    if router.visits < 2**levels and len(router.layers[1]) > 1:
+        short = stored(asking.join(found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("_id")), "_id", "left_anti"))
+        if not short.isEmpty():
+            rest = short.select("_id", "_v", "_row", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(2**levels - 1)), "_parts")).alias("_part"))
+            found = found.unionByName(nearest_in(rest, home, sizes, 2**levels, dim, k, block))
+    return ranked_few(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def ranked_few(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))).cast("int"))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def nearest_in(visits: DataFrame, home: DataFrame, sizes: dict[int, int], parts: int, dim: int, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query (_id, _v, _row) in the parts that it visits (_part), of the rows at home there."""
     calls = {r["_part"]: r["n"] for r in visits.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = lambda n: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in range(2**levels) for x in (p, max(1, -(-n.get(p, 0) // block))))), F.col("_part")), F.lit(1))
+    blocks = lambda n: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in range(parts) for x in (p, max(1, -(-n.get(p, 0) // block))))), F.col("_part")), F.lit(1))
     dealt = lambda n: F.pmod(F.xxhash64("_row"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (blocks(n) - 1).cast("int")))
     cands = home.select("_part", dealt(sizes).alias("_c"), every(calls).alias("_q"), "_id", "_v")
@@ -187,6 +211,5 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], k: int = 20, i
             found = []
         return pa.table({"query_id": pa.array([x for i, n, *_ in found for x in [i] * len(n)], pa.int64()), "vec_id": pa.array([None if none else x for _, n, z, _ in found for x, none in zip(n, z, strict=True)], pa.int64()), "score": pa.array([x for *_, s in found for x in s], pa.float64())})
 
-    found = asks.groupBy("_part", "_c", "_q").cogroup(cands.groupBy("_part", "_c", "_q")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    each = asks.groupBy("_part", "_c", "_q").cogroup(cands.groupBy("_part", "_c", "_q")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    return ranked_few(each, k).select("query_id", "vec_id", "score")
