@@ -62,9 +62,50 @@ def test_long_chains_cycles_and_repeats(spark):
     assert chat.format_paths(messages(spark, [])).count() == 0
 
 
+def paths_brute(rows):
+    """The texts from a root to each leaf of (tree, id, parent, text) rows whose ids differ, by following parents."""
+    out = []
+    for tree in {r[0] for r in rows}:
+        own = {i: (p, t) for x, i, p, t in rows if x == tree}
+        for i in set(own) - {p for j, (p, _) in own.items() if p != j}:
+            path, at = [], i
+            while len(path) <= len(own):
+                parent, text = own[at]
+                path.insert(0, text)
+                if parent not in own or parent == at:
+                    out.append((tree, path))
+                    break
+                at = parent
+    return sorted(out)
+
+
+def test_random_forests_with_cycles(spark):
+    rnd = random.Random(11)
+    rows = []
+    for tree in range(25):
+        n = rnd.randint(1, 40)
+        for i in range(n):
+            # Half of the trees may have parents of any age, and so cycles that leaves hang from.
+            rows.append((tree, i, rnd.choice([None, *range(n if tree % 2 else i), 99]), f"{tree}:{i}"))
+    rows += [(100, 1, 2, "a"), (100, 2, 1, "b"), (100, 3, 1, "leaf under a cycle"), (100, 4, None, "root"), (100, 5, 4, "leaf")]
+    made = chat.format_paths(messages(spark, [(t, i, p, "user", x, 0.0, "x") for t, i, p, x in rows]), keep=None).collect()
+    assert sorted((r.tree_id, [t for _, t in chat.read_turns(r.formatted)]) for r in made) == paths_brute(rows)
+
+
 # Mixing
 
 
+def test_targets_that_cannot_be_met_show(spark):
+    df = spark.createDataFrame([(i, "a" if i < 990 else "b", 1) for i in range(1000)], "doc_id long, source string, n long")
+    even = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, share double")}
+    made = {r.value: r for r in mixing.report(mixing.mix(df, ["source"], "n", targets=even), ["source"], "n", even).collect()}
+    # The margins hold, on as much of the share of 0.5 as b's ten tokens allow (less a step).
+    assert all(abs(made[v].expected - 0.5) <= 0.005 for v in "ab") and 0.5 / mixing.STEPS * 0.9 <= made["a"].held + 0.5 / mixing.STEPS and made["a"].held <= 0.0201
+    absent = {"source": spark.createDataFrame([("a", 0.5), ("c", 0.5)], "value string, share double")}
+    told = {r.value: (round(r.target, 3), round(r.expected, 3)) for r in mixing.report(mixing.mix(df, ["source"], "n", targets=absent), ["source"], "n", absent).collect()}
+    assert told == {"a": (0.5, 1.0), "b": (0.0, 0.0), "c": (0.5, 0.0)}
+
+
 def test_raking_meets_the_margins(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice("abc"), rnd.choice(["x", "y", None]), rnd.randint(1, 50)) for i in range(2000)]
@@ -135,6 +176,9 @@ def test_line_dedup(spark):
     first = docs(spark, [(1, "a\nb"), (2, "b\na\na"), (3, "c\na")])
     kept = {r.row.doc_id: r.kept for r in line_dedup.apply_bitmaps(first, line_dedup.dropped_lines(first, min_docs=2, keep_first=True)).collect()}
     assert kept == {1: "a\nb", 2: "", 3: "c"}
+    again = docs(spark, [(1, "a\nb"), (1, "a\nb"), (2, "b\na\na")])
+    kept = sorted((r.row.doc_id, r.kept) for r in line_dedup.apply_bitmaps(again, line_dedup.dropped_lines(again, min_docs=2, keep_first=True)).collect())
+    assert kept == [(1, "a\nb"), (1, "a\nb"), (2, "")]
     assert line_dedup.apply_bitmaps(df.limit(0), line_dedup.dropped_lines(df.limit(0))).count() == 0
 
 
@@ -175,6 +219,38 @@ def test_search_finds_rows_with_repeated_and_null_ids(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 1, 9.0), (0, 2, 1, 8.0), (0, 3, 2, 7.0), (0, 4, None, 7.0), (0, 5, None, 6.0)]
 
 
+def test_search_of_vectors_of_all_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1600, 12)) * rng.lognormal(0, 1, (1600, 1))
+    x[:700] = x[:700] + 40 * rng.standard_normal(12)  # a cluster far out, and a part that only few rows are at home in
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, lambda i: i % 20 == 0, k=20, sample=800).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 1600, 20)) and all(len(v) == 20 for v in got.values())
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert sum(len(got[q] & set(np.argsort(-s[q])[:20])) for q in got) >= 0.9 * 20 * len(got)
+
+
+def test_few_rows_in_the_parts_visited_are_made_up_for(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 6))
+    fit = nearest.fit
+
+    def one_visit(*a, **b):
+        router = fit(*a, **b)
+        router.visits = 1
+        return router
+
+    monkeypatch.setattr(nearest, "fit", one_visit)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest.search(df, lambda i: i == 0, k=390).collect()
+    s = x @ x[0]
+    s[0] = -np.inf
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == list(np.argsort(-s)[:390])
+
+
 # Tokenizers
 
 
@@ -184,12 +260,28 @@ def test_tree_encoding_is_the_librarys(leaf):
 
     library, codec, rnd = Tokenizer.from_file(BYTE), bpe.Codec(BYTE, leaf), random.Random(leaf)
     parts = ["a", "b", " ", "  ", "\n", "'s", "'", "re", "!", "1", "é", "漢", "\U0001f600", " the", "<|endoftext|>", "<|endof", "\t", "ing", "\x1c", "́", "᠎", "՘"]
+    joins = 0
     for _ in range(800):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))
         want = library.encode(text, add_special_tokens=False).ids
         assert codec.encode(text) == want
-        assert codec.joined([(p, g, *codec.leaf(p)) for p, g in codec.cuts(text)]) == want
+        cuts = codec.cuts(text)
+        assert codec.joined([(p, g, *codec.leaf(p)) for p, g in cuts]) == want
+        joins += sum(g for _, g in cuts)
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
+    assert joins > 100
+
+
+def test_table_of_known_pieces_forgets_and_stays_right(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "KNOWN", 5)
+    library, codec, rnd = Tokenizer.from_file(BYTE), bpe.Codec(BYTE), random.Random(12)
+    words = ["stone", "stone,", "Stone.", "été,", "ｘ,", "x1.", "don't.", "", ",", "<|endoftext|>,", "a\nb,", "q" * 100 + "!"]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(codec.after.new) <= 5 and len(codec.after.old) <= 5
 
 
 def test_encode_and_decode_whole_tables(spark):
@@ -229,6 +321,15 @@ def test_token_counts(spark, name):
     assert tokens.count_tokens(docs(spark, []), path).count() == 0
 
 
+def test_long_text_without_blanks_is_cut_at_digits(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "LONG_PIECE", 20)
+    library, rnd = Tokenizer.from_file(WORD), random.Random(10)
+    texts = ["".join(rnd.choice(["a", "B", "s", "'s", "é", "\u0301", "1", "22", "-", "<|endoftext|>", "³", "x"]) for _ in range(rnd.randint(0, 90))) for _ in range(400)]
+    assert tokens.Lengths(WORD).of(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # Sharding
 
 
@@ -246,6 +347,33 @@ def test_lookup_table_is_even_and_changes_little():
         sharding.lookup_table(names, 1000)
 
 
+def filled(names, size):
+    """Each slot's shard, by whole permutations and plain turns."""
+    orders = []
+    for n in names:
+        h = hashlib.sha256(n.encode()).digest()
+        offset, skip = int.from_bytes(h[:8], "big") % size, int.from_bytes(h[8:16], "big") % (size - 1) + 1
+        orders.append(iter([(offset + j * skip) % size for j in range(size)]))
+    table = {}
+    while True:
+        for n, order in zip(names, orders, strict=True):
+            if len(table) == size:
+                return table
+            table[next(slot for slot in order if slot not in table)] = n
+
+
+@pytest.mark.parametrize("key", ["slot", "shard"])
+def test_placement_by_a_plain_fill_whatever_the_key_is_called(spark, key):
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+    names, size = [f"shard-{i}" for i in range(7)], 101
+    df = spark.createDataFrame([(i * 7919, str(i)) for i in range(300)], f"{key} long, text string")
+    table = filled(names, size)
+    got = sharding.place(df, key, names, size).collect()
+    assert sorted((int(r.text), r.slot, r.shard) for r in got) == [(i, (s := xxhash.xxh64_intdigest(struct.pack("<q", i * 7919), seed=42)) and (slot := (s - (1 << 64) if s >> 63 else s) % size), table[slot]) for i in range(300)]
+
+
 def test_placement(spark):
     df = docs(spark, [(i, "x") for i in range(500)] + [(None, "x"), (3, "x")])
     names = [f"s{i}" for i in range(5)]
@@ -316,6 +444,17 @@ def test_shingle_hashing_matches_words():
     assert np.array_equal(a, b) and not np.array_equal(a, c)
 
 
+def test_stretches_of_a_long_text_make_its_set(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(13)
+    monkeypatch.setattr(near_duplicates, "STRETCH", 40)
+    for k in (1, 3, 5):
+        texts = [prose(rnd, rnd.randint(1, 200)) + rnd.choice(["", "  ", " \n" * 50, " " + "w" * 300]) for _ in range(60)] + [None, "", "a"]
+        for t, s in zip(texts, near_duplicates.in_groups(pa.array(texts), k), strict=True):
+            assert np.array_equal(s, near_duplicates.shingle_sets([t], k)[0] if t else np.zeros(0, np.uint64))
+
+
 # Quality
 
 
@@ -382,3 +521,29 @@ def test_chunks_cover_whole_texts():
     for at in (0, 257, 511, 2000, len(long) - 3):
         assert net.score([long[:at] + "@@" + long[at:]])[0] < net.score([long])[0]
     assert np.allclose(net.score([long, "", "x"]), np.concatenate([net.score([t]) for t in (long, "", "x")]))
+
+
+def test_network_by_plain_loops():
+    rnd = random.Random(14)
+    net = quality_cnn.train(["good text " * 30] * 20 + ["bad@@text " * 90] * 20, [1] * 20 + [0] * 20)
+    half, width = quality_cnn.HALF, quality_cnn.WIDTH
+    for n in (0, 1, 255, 256, 257, 512, 513, 1500):
+        text = "".join(rnd.choice("go dbat@é") for _ in range(n))
+        raw = list(text.encode())
+        places = max(1, -(-len(raw) // half)) * half
+        answers = [[sum(float(net.filters[k][raw[at + k] if at + k < len(raw) else quality_cnn.PAD][f]) for k in range(width)) for f in range(quality_cnn.FILTERS)] for at in range(places)]
+        chunks = [answers[at : at + 2 * half] for at in range(0, max(1, places - half), half)]
+        pooled = [[np.tanh(max(a[f] for a in chunk) + net.shift[f]) for f in range(quality_cnn.FILTERS)] for chunk in chunks]
+        found = [sum(c[f] for c in pooled) / len(pooled) for f in range(quality_cnn.FILTERS)] + [max(c[f] for c in pooled) for f in range(quality_cnn.FILTERS)]
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(found, net.weights, strict=True)) + net.bias)))
+        assert abs(net.score([text])[0] - want) < 1e-4
+
+
+def test_conflicting_labels_are_settled(spark, monkeypatch):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, marks: seen.append(list(zip(texts, marks, strict=True))))
+    for order in (1, -1):
+        labels = spark.createDataFrame([(i, q) for i in ids for q in (0, 1)][::order], "doc_id long, quality int").repartition(5)
+        quality_cnn.fit(docs(spark, [(i, f"text {i}") for i in ids]), labels)
+    assert seen[0] == seen[1] and {q for _, q in seen[0]} == {0}
