@@ -48,7 +48,7 @@ BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
 #: Star rounds at most, and the pairs a posting above which another one is worth it.
-STAR_ROUNDS, CROWD = 4, 8
+STAR_ROUNDS, CROWD = 2, 8
 #: Bytes that are hashed together.
 STRETCH = 1 << 19
 #: Parity bits of a set, and of one of more than WIDE_FROM shingles, for which the former are too few.
@@ -192,17 +192,22 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.ceil(LEVELS * np.log2(counts.astype(np.float64) + 1)).clip(0, 255).astype(np.uint8)
 
 
-def packed(levels: np.ndarray) -> bytes:
-    """A block of levels, compressed, as a small task leaves most counters at nothing."""
+def packed(values: np.ndarray) -> bytes:
+    """An array of bytes, compressed, as a small task leaves most counters at nothing."""
     import pyarrow as pa
 
-    return pa.compress(levels.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
+def unpacked(raw: bytes, size: int = SKETCH // BLOCKS) -> np.ndarray:
     import pyarrow as pa
 
-    return np.frombuffer(pa.decompress(raw, SKETCH // BLOCKS, codec="zstd", asbytes=True), np.uint8)
+    return np.frombuffer(pa.decompress(raw, size, codec="zstd", asbytes=True), np.uint8)
+
+
+def bits_of(raw: bytes) -> np.ndarray:
+    rows = BITS // 32768 + 2
+    return unpacked(raw, rows * 4096).reshape(rows, 4096)
 
 
 def summed(partial: DataFrame) -> np.ndarray:
@@ -245,7 +250,7 @@ def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
     def make(batches: Iterator):
         import pyarrow as pa
 
-        levels = sketch.value
+        levels = unpacked(sketch.value, SKETCH)
         for b in batches:
             found = [posted(x, levels, percent) for x in in_groups(b.column(0), words)]
             found = [x for x in found if x]
@@ -255,14 +260,17 @@ def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -
     return stored(each.dropDuplicates(["_member"]))
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITS bits, whatever the input, with those of the values (taken modulo BITS) set; in rows of 4096 bytes, as Spark's functions count them."""
+def bitmap(values: DataFrame, column: str) -> bytes:
+    """A bitmap of BITS bits, whatever the input, with those of the values (taken modulo BITS) set; in rows of 4096 bytes, as Spark's functions count them.
+
+    It is compressed, as each machine keeps copies of what is broadcast on disk.
+    """
     place = F.pmod(column, F.lit(BITS)).cast("long")
     parts = values.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")).collect()
     bits = np.zeros((BITS // 32768 + 2, 4096), np.uint8)
     for r in parts:
         bits[r["_bucket"]] = np.frombuffer(r["_bits"], np.uint8)
-    return bits
+    return packed(bits)
 
 
 def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -284,7 +292,7 @@ def live_postings(posts: DataFrame, percent: int) -> DataFrame:
     def spread(batches: Iterator):
         import pyarrow as pa
 
-        bits = held.value
+        bits = bits_of(held.value)
         for b in batches:
             tokens = b.column(2).flatten().to_numpy()
             n = np.diff(b.column(2).offsets.to_numpy())
@@ -348,7 +356,7 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
     def make(batches: Iterator):
         import pyarrow as pa
 
-        bits, seen = held.value, set()
+        bits, seen = bits_of(held.value), set()
         for b in batches:
             texts = b.column(1).filter(pa.array(is_set(bits, b.column(0).to_numpy())))
             for i in range(0, len(texts), 500):
@@ -452,7 +460,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """
     spark = docs.sparkSession
     rows, partial = signed(docs, id_col, text_col, words)
-    sketch = spark.sparkContext.broadcast(summed(partial))
+    sketch = spark.sparkContext.broadcast(packed(summed(partial)))
     posts = prefixes(docs, sketch, text_col, words, percent)
     live = live_postings(posts, percent)
     roots = spark.createDataFrame([], "node bigint, root bigint")
