@@ -7,7 +7,8 @@ row (error, skip) the first counts, and it hides the later ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,9 @@ class Compiled:
     id_map: DataFrame | None = None
     events: DataFrame | None = None
     documents: DataFrame | None = None
+    #: How many arrays feed each table, and where the serial numbers of those that several feed go on.
+    feeds: Counter[str] = field(default_factory=Counter)
+    numbers: dict[str, int] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         return {self.main[0]: self.main[1], **self.children, **self.junctions, **self.unpivots}
@@ -201,6 +205,7 @@ def compile_entity(name: str, entity: Entity, source: DataFrame, id_map: DataFra
     fields = [*(f.target for f in entity.fields.values()), *([entity.unmapped.jsonb_column] if entity.unmapped.jsonb_column else [])]
     out = Compiled((entity.target, alive.select(own, *dict.fromkeys(f for f in fields if f != entity.id_strategy.target_field))), documents=rows)
     all_events = [rows.select(F.lit(entity.target).alias("table"), F.col("_sid").alias("source_id"), F.posexplode("_events").alias("place", "_e")).select("table", "source_id", "_e.field", "_e.kind", "_e.message", "place")]
+    out.feeds.update(array_targets(entity.explode))
     # A dry run looks below documents with errors too; what a policy skips is skipped with all below it.
     below = rows.filter(~F.exists("_events", lambda e: e["kind"] == "S")) if every_error else alive
     for n, spec in entity.explode.items():
@@ -242,6 +247,12 @@ def cast_key(text: Column, column: ColumnDef | None) -> Column:
     return text if column is None or isinstance(column.spark, T.StringType) else text.try_cast(column.spark)
 
 
+def array_targets(explode: dict[str, Explode]) -> Iterator[str]:
+    for spec in explode.values():
+        yield spec.target
+        yield from array_targets(spec.explode)
+
+
 def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFrame, catalog: Catalog | None, namespace: str, sequences: dict[str, int], out: Compiled, events: list[DataFrame], every_error: bool, keep: Callable[[DataFrame], DataFrame]) -> None:
     """Rows of one embedded array, and of those within it. A skipped item takes what is below it along."""
     table = catalog[spec.target] if catalog else None
@@ -263,7 +274,10 @@ def explode_level(spec: Explode, prefix: str, parents: DataFrame, id_map: DataFr
     marks = ordered(level.events)
     rows = level.df.select("_sid", "_parent", made.alias("_new"), (marks if every_error else ended(marks)).alias("_events"), *(c.alias(n) for n, c in level.values.items())).withColumn("_end", verdict(F.col("_events")))
     if spec.id_strategy.type in ("serial", "int_sequence"):
-        rows = with_sequence(rows.drop("_new"), ["_sid"], "_new", sequences.get(spec.target, 1)).withColumn("_new", F.col("_new").cast("string"))
+        start = out.numbers.get(spec.target, sequences.get(spec.target, 1))
+        rows = with_sequence(rows.drop("_new"), ["_sid"], "_new", start).withColumn("_new", F.col("_new").cast("string"))
+        if out.feeds[spec.target] > 1:  # the next array goes on where this one ends
+            out.numbers[spec.target] = start + rows.count()
     rows = keep(rows)
     alive = rows.filter("_end is null")
     own = []
