@@ -151,13 +151,20 @@ def reshape(args: argparse.Namespace, sources: Collections) -> int:
         return 0
     old = spark.read.parquet(args.dest) if args.output == "merge" and args.dest else None
     out = reshaped(df, made, old, args.output, args.on.split(",") if args.on else None)
-    # A merge reads what it replaces, so the result goes to a new folder first.
-    draft = f"{args.dest}.new"
+    # A merge reads what it replaces, so the result goes to a new folder first. What was there is moved aside until the new one is in its place.
+    draft, aside = f"{args.dest}.new", f"{args.dest}.old"
     out.write.mode("overwrite").parquet(draft)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(args.dest).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(args.dest), True)
-    fs.rename(path(draft), path(args.dest))
+    had = fs.exists(path(args.dest))
+    if had:
+        fs.delete(path(aside), True)
+        if not fs.rename(path(args.dest), path(aside)):
+            raise OSError(f"{args.dest} can't be replaced; the result is in {draft}")
+    if not fs.rename(path(draft), path(args.dest)):
+        raise OSError(f"the result is in {draft}" + (f", and what was there in {aside}" if had else ""))
+    if had:
+        fs.delete(path(aside), True)
     return 0
 
 

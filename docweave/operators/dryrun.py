@@ -6,6 +6,7 @@ scratch folder and checks the target's constraints there. The same Columns make
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -95,6 +96,7 @@ def realistic_pass(mapping: Mapping, sources: Collections, catalog: Catalog, scr
 
     spark = sources.spark
     tables = [t for e in mapping.entities.values() for t in e.tables()]
+    scratch = f"{scratch}/dry-run-{uuid.uuid4().hex}"  # the folder itself may hold what isn't ours to delete
     store, report = Store(spark, scratch, only(catalog, tables)), Report(layers="B")
     try:
         if external is not None:

@@ -97,7 +97,7 @@ class Staged:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df written to the run's work folder and read again: its rows, ids included, are then what they are."""
-        return self.store.spark.read.schema(df.schema).parquet(self.write(df, "_work"))
+        return self.store.spark.read.schema(df.schema).parquet(self.write(df, f"_work/{self.run}"))
 
     def empty(self, tables: list[str]) -> None:
         for t in tables:
@@ -136,7 +136,7 @@ class Staged:
         stream.close()
         if fs.exists(final) or not fs.rename(draft, final):
             raise PublishConflict(f"version {version} was published by another run")
-        fs.delete(path(f"{self.store.root}/_work"), True)
+        fs.delete(path(f"{self.store.root}/_work/{self.run}"), True)
         return version
 
 

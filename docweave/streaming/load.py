@@ -115,7 +115,7 @@ def batches(docs: DataFrame, size: int | None) -> Iterator[tuple[DataFrame, Any]
         last = end
 
 
-def load_entity(name: str, entity: Entity, source: DataFrame, store: Store, mode: str, namespace: str, batch_size: int | None, progress: Progress, external: DataFrame | None) -> EntityResult:
+def load_entity(name: str, entity: Entity, source: DataFrame, store: Store, mode: str, namespace: str, batch_size: int | None, progress: Progress, external: DataFrame | None, mark: tuple[str, int] | None = None) -> EntityResult:
     staged = store.begin()
     before = staged.state["checkpoints"].get(name)
     kind = as_document(source).schema["_oid"].dataType
@@ -146,8 +146,9 @@ def load_entity(name: str, entity: Entity, source: DataFrame, store: Store, mode
                 staged.add_ids(name, upsert_id_map(staged.id_map([name]), made.id_map), replace=True)
             else:
                 staged.add_ids(name, made.id_map)
-        rows += result.rows.get(entity.target, 0) if batch_size is None else 0
-        staged.checkpoint(name, end, kind.simpleString(), rows or result.rows.get(entity.target, 0))
+        staged.checkpoint(name, end, kind.simpleString(), rows + result.rows.get(entity.target, 0))
+        if mark:
+            staged.state.setdefault("streams", {})[mark[0]] = mark[1]
         staged.publish()
         progress(f"{name}: up to {end}")
     staged = store.begin()
@@ -225,15 +226,20 @@ def write(entity: Entity, made: Compiled, staged: Staged, mode: str, catalog: Ca
 
 
 def stream_load(mapping: Mapping, name: str, stream: DataFrame, store: Store, checkpoint: str, mode: str = "upsert", namespace: str = NAMESPACE):
-    """An entity fed by a file stream: all that is there now in micro-batches, each loaded as a batch of its own, and then it ends."""
+    """An entity fed by a file stream: all that is there now in micro-batches, each loaded as a batch of its own, and then it ends.
 
-    def one(batch: DataFrame, _: int) -> None:
+    A batch's number is published with its rows, so that one that is replayed, as its stream stopped before it could commit, changes nothing.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        state = store.begin()
+        if state.state.get("streams", {}).get(checkpoint, -1) >= number:
+            return
         docs = batch.persist()
         try:
-            state = store.begin()
             state.state["checkpoints"].pop(name, None)  # files, not ids, say what is new
             state.publish()
-            load_entity(name, mapping.entities[name], docs, store, mode, namespace, None, Progress(), None)
+            load_entity(name, mapping.entities[name], docs, store, mode, namespace, None, Progress(), None, (checkpoint, number))
         finally:
             docs.unpersist()
 
