@@ -1,5 +1,5 @@
 import pytest
-import shop
+import ringing
 from pyspark.sql import functions as F
 
 from docweave.cli import main
@@ -13,18 +13,19 @@ from docweave.sources.collections import Collections, redacted
 from docweave.sources.store import Store
 from docweave.streaming.load import load
 
-HOSPITALS = {
-    "h": {
-        "source": "h",
-        "target": "hospitals",
-        "id_strategy": shop.UUID,
+#: Reserves with ponds, and what was found in each sample of a pond.
+RESERVES = {
+    "r": {
+        "source": "r",
+        "target": "reserves",
+        "id_strategy": ringing.UUID,
         "explode": {
-            "facilities": {
-                "target": "hospital_facilities",
-                "id_strategy": {"type": "objectid_to_uuid", "source_field": "facilityId"},
-                "parent_fk": {"target_field": "hospital_id", "references": "hospitals.id"},
-                "fields": {"name": "name"},
-                "explode": {"categoryParts": {"target": "facility_category_parts", "id_strategy": {"type": "serial"}, "parent_fk": {"target_field": "facility_id", "references": "hospital_facilities.id"}, "fields": {"partName": "part_name"}}},
+            "ponds": {
+                "target": "ponds",
+                "id_strategy": {"type": "objectid_to_uuid", "source_field": "pond"},
+                "parent_fk": {"target_field": "reserve_id", "references": "reserves.id"},
+                "fields": {"depth": "depth_cm"},
+                "explode": {"samples": {"target": "samples", "id_strategy": {"type": "serial"}, "parent_fk": {"target_field": "pond_id", "references": "ponds.id"}, "fields": {"taxon": "taxon", "n": "found"}}},
             }
         },
     }
@@ -39,24 +40,36 @@ def test_nested_variant_documents(spark):
     docs = variants(
         spark,
         [
-            ("a", '{"_id": "a", "facilities": [{"facilityId": "F1", "name": "Ward", "categoryParts": [{"partName": "ICU"}, {"partName": "OT"}]}, {"facilityId": "F2", "name": "Lab"}]}'),
-            ("b", '{"_id": "b"}'),
-            ("c", '{"_id": "c", "facilities": "none"}'),
-            ("d", '{"_id": "d", "facilities": [{"facilityId": "F3", "name": null, "categoryParts": 7}]}'),
+            ("moor", '{"_id": "moor", "ponds": [{"pond": "m1", "depth": 80, "samples": [{"taxon": "newt", "n": 2}, {"taxon": "frog", "n": 9}, {"taxon": "newt", "n": 1}]}, {"pond": "m2", "depth": 35, "samples": []}]}'),
+            ("dune", '{"_id": "dune", "ponds": []}'),
+            ("cliff", '{"_id": "cliff"}'),
+            ("bog", '{"_id": "bog", "ponds": {"pond": "b1"}}'),
+            ("fen", '{"_id": "fen", "ponds": [{"pond": "f1", "depth": 120, "samples": "many"}, {"pond": "f2", "samples": [{"taxon": "toad"}]}]}'),
         ],
     )
-    made = compile_entity("h", parse_mapping({"entities": HOSPITALS}).entities["h"], docs, empty_id_map(spark))
-    assert made.main[1].count() == 3
-    assert {r.name for r in made.children["hospital_facilities"].collect()} == {"Ward", "Lab"}
-    assert {r.part_name for r in made.children["facility_category_parts"].collect()} == {"ICU", "OT"}
+    made = compile_entity("r", parse_mapping({"entities": RESERVES}).entities["r"], docs, empty_id_map(spark))
+    # Documents with an error are out, and so is all that hangs from them.
+    assert made.main[1].count() == 4
+    assert sorted(str(r.depth_cm) for r in made.children["ponds"].collect()) == ["35", "80", "None"]
+    samples = made.children["samples"].collect()
+    assert sorted((r.taxon, str(r.found)) for r in samples) == [("frog", "9"), ("newt", "1"), ("newt", "2"), ("toad", "None")]
+    assert sorted(int(r.id) for r in samples) == [1, 2, 3, 4]
     wrong = {(r.source_id, r.field) for r in made.events.filter("kind = 'E'").collect()}
-    assert wrong == {("c", "facilities"), ("d", "facilities.categoryParts")}
+    assert wrong == {("bog", "ponds"), ("fen", "ponds.samples")}
+
+
+def test_arrays_that_feed_one_table_share_its_numbers(spark):
+    array = lambda: {"target": "x", "id_strategy": {"type": "serial"}, "parent_fk": {"target_field": "n_id", "references": "n.id"}, "fields": {"v": "v"}}
+    m = parse_mapping({"entities": {"n": {"source": "n", "target": "n", "id_strategy": ringing.UUID, "fields": {}, "explode": {"xs": array(), "ys": array(), "zs": array()}}}})
+    docs = spark.createDataFrame([("a", [(1,), (2,)], [(3,)], []), ("b", [(4,)], [(5,), (6,)], [(7,)])], "_id string, xs array<struct<v:int>>, ys array<struct<v:int>>, zs array<struct<v:int>>")
+    rows = compile_entity("n", m.entities["n"], docs, empty_id_map(spark), sequences={"x": 11}).children["x"].collect()
+    assert sorted(int(r.id) for r in rows) == list(range(11, 18)) and sorted(r.v for r in rows) == list(range(1, 8))
 
 
 def test_first_event_wins_and_skips_hide_later_errors(spark):
     m = parse_mapping(
         {
-            "entities": {"e": {"source": "e", "target": "e", "id_strategy": shop.UUID, "fields": {"n": {"target": "n", "transform": "cast_int"}, "ref": {"target": "r", "lookup": "x", "on_missing": "skip_row"}, "m": {"target": "m", "transform": "cast_int"}}}},
+            "entities": {"e": {"source": "e", "target": "e", "id_strategy": ringing.UUID, "fields": {"n": {"target": "n", "transform": "cast_int"}, "ref": {"target": "r", "lookup": "x", "on_missing": "skip_row"}, "m": {"target": "m", "transform": "cast_int"}}}},
             "external_entities": ["x"],
         }
     ).entities["e"]
@@ -86,7 +99,7 @@ def test_scalar_items_residual_json_and_nulls_in_junctions(spark):
                 "o": {
                     "source": "o",
                     "target": "o",
-                    "id_strategy": shop.UUID,
+                    "id_strategy": ringing.UUID,
                     "explode": {"items": {"target": "i", "id_strategy": {"type": "serial"}, "parent_fk": {"target_field": "o_id", "references": "o.id"}, "fields": {"qty": "qty"}, "unmapped": {"jsonb": ["note", "discount"], "jsonb_column": "extra"}}},
                     "junction": {"tags": {"target": "t", "parent_fk": {"target_field": "o_id", "references": "o.id"}, "child_fk": {"target_field": "t_id", "references": "t.id"}}},
                 }
@@ -123,8 +136,8 @@ def test_merges(spark):
     pairs = spark.createDataFrame([(2, "z"), (4, "d"), (4, "d")], "k int, v string")
     assert merge.insert_missing(old.select("k", "v"), pairs, ["k"]).count() == 3
     assert {tuple(r) for r in merge.replaced(old, new.withColumn("w", F.lit("n")), ["k"]).collect()} == {(1, "a", "x"), (2, None, "n"), (3, "c", "n")}
-    found = merge.violations({"users": spark.createDataFrame([("1", "a", None), ("2", "a", "n")], "id string, email string, display_name string")}, shop.catalog())
-    assert {(r.constraint, r.n) for r in found.collect()} == {("not null display_name", 1), ("unique email", 2)}
+    found = merge.violations({"ringers": spark.createDataFrame([("1", "P", None), ("2", "P", "n")], "id string, permit string, family_name string")}, ringing.catalog())
+    assert {(r.constraint, r.n) for r in found.collect()} == {("not null family_name", 1), ("unique permit", 2)}
 
 
 def test_pick_one_puts_nulls_first_and_breaks_ties(spark):
@@ -152,30 +165,30 @@ def test_profile_of_deep_documents(spark):
 
 
 def test_reconciliation_names_what_differs(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "t"), shop.catalog())
-    load(shop.mapping(), shop.collections(spark), store, "truncate")
-    assert reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None).ok
+    store = Store(spark, str(tmp_path / "t"), ringing.catalog())
+    load(ringing.mapping(), ringing.collections(spark), store, "truncate")
+    assert reconcile.reconcile(ringing.mapping(), ringing.collections(spark), store, sample=None).ok
     state = store.begin()
-    state.replace("users", store.read("users").withColumn("email", F.lit("b@x.org")))
-    state.replace("order_tags", store.read("order_tags").limit(2))
+    state.replace("ringers", store.read("ringers").withColumn("grade", F.when(F.col("permit") == "P-7", 4).otherwise(F.col("grade")).cast("int")))
+    state.replace("session_nets", store.read("session_nets").limit(1))
     state.publish()
-    report = reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None)
-    assert [(v.entity, v.source_id, v.field) for v in report.values] == [("users", shop.U, "email")]
-    assert [c.table for c in report.counts if not c.matches] == ["order_tags"]
+    report = reconcile.reconcile(ringing.mapping(), ringing.collections(spark), store, sample=None)
+    assert [(v.entity, v.source_id, v.field) for v in report.values] == [("ringers", ringing.IDA, "grade")]
+    assert [c.table for c in report.counts if not c.matches] == ["session_nets"]
 
 
 def test_differences_beyond_the_listed_are_counted(spark, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path / "t"), shop.catalog())
-    load(shop.mapping(), shop.collections(spark), store, "truncate")
+    store = Store(spark, str(tmp_path / "t"), ringing.catalog())
+    load(ringing.mapping(), ringing.collections(spark), store, "truncate")
     state = store.begin()
-    state.replace("products", store.read("products").withColumn("name", F.lit("?")).withColumn("sku", F.concat("sku", F.when(F.col("sku") == "S1", "!").otherwise(""))))
+    state.replace("species", store.read("species").withColumn("latin", F.lit("?")).withColumn("code", F.concat("code", F.when(F.col("code") == "ERIRUB", "!").otherwise(""))))
     state.publish()
-    every = reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None)
+    every = reconcile.reconcile(ringing.mapping(), ringing.collections(spark), store, sample=None)
     monkeypatch.setattr(reconcile, "SAMPLE", 1)
-    some = reconcile.reconcile(shop.mapping(), shop.collections(spark), store, sample=None)
-    assert len(every.values) == 3 and some.values == every.values[:1] and not some.ok
+    some = reconcile.reconcile(ringing.mapping(), ringing.collections(spark), store, sample=None)
+    assert len(every.values) == 4 and some.values == every.values[:1] and not some.ok
     for report, truncated in ((every, False), (some, True)):
-        assert [(d.entity, d.field, d.n, d.truncated) for d in report.fields] == [("products", "name", 2, truncated), ("products", "sku", 1, truncated)]
+        assert [(d.entity, d.field, d.n, d.truncated) for d in report.fields] == [("species", "code", 1, truncated), ("species", "latin", 3, truncated)]
 
 
 def test_canonical_values(spark):
@@ -184,22 +197,26 @@ def test_canonical_values(spark):
 
 
 def test_dry_run_layers(spark, tmp_path):
-    clean = dry_run(shop.mapping(), shop.collections(spark), shop.catalog(), str(tmp_path / "s"))
-    assert clean.ok and clean.layers == "AB" and not (tmp_path / "s").exists()
-    at = shop.collections(spark).read("orders").first().createdAt
-    bad = shop.collections(spark, [(shop.O1, "f" * 24, None, at, [("e" * 24, 1, 1.0)], [shop.T1])])
-    report = fast_pass(shop.mapping(), bad, shop.catalog())
-    assert {v.field for v in report.violations} == {"userId", "status", "items.productId"} and not report.ok
-    twice = shop.collections(spark)
-    twice.given["tags"] = spark.createDataFrame([(shop.T1, "same"), (shop.T2, "same")], "_id string, label string")
-    found = dry_run(shop.mapping(), twice, shop.catalog(), str(tmp_path / "s"))
-    assert [(v.entity, v.field) for v in found.violations] == [("tags", "unique label")]
-    cut = fast_pass(shop.mapping(), shop.collections(spark, [(f"{i:024x}", "f" * 24, "x", at, [], []) for i in range(5)]), shop.catalog(), cap=3)
+    mine = tmp_path / "s" / "mine.txt"
+    mine.parent.mkdir()
+    mine.write_text("kept")
+    clean = dry_run(ringing.mapping(), ringing.collections(spark), ringing.catalog(), str(tmp_path / "s"))
+    assert clean.ok and clean.layers == "AB" and [p.name for p in (tmp_path / "s").iterdir()] == ["mine.txt"]
+    stranger, unknown = "f" * 24, "e" * 24
+    bad = ringing.collections(spark, [(ringing.DAWN, stranger, ringing.opened(4), None, [ringing.LOW_NET], [(unknown, "A1", 1, 1.0)])])
+    report = fast_pass(ringing.mapping(), bad, ringing.catalog())
+    assert {v.field for v in report.violations} == {"ringerId", "weather", "catches.speciesId"} and not report.ok
+    twice = ringing.collections(spark)
+    twice.given["nets"] = spark.createDataFrame([(ringing.LOW_NET, "same", 1.0), (ringing.HIGH_NET, "same", 2.0)], "_id string, label string, metres double")
+    found = dry_run(ringing.mapping(), twice, ringing.catalog(), str(tmp_path / "s"))
+    assert [(v.entity, v.field) for v in found.violations] == [("nets", "unique label")]
+    many = ringing.collections(spark, [(f"{i:024x}", stranger, ringing.opened(9), "x", [], []) for i in range(5)])
+    cut = fast_pass(ringing.mapping(), many, ringing.catalog(), cap=3)
     assert cut.truncated and not cut.ok
 
 
 def test_polymorphic_collection_fills_one_table(spark, tmp_path):
-    part = lambda k: {"source": "p", "target": "pay", "id_strategy": shop.UUID, "filter": {"field": "type", "equals": k}, "fields": {"type": "type"}}
+    part = lambda k: {"source": "p", "target": "pay", "id_strategy": ringing.UUID, "filter": {"field": "type", "equals": k}, "fields": {"type": "type"}}
     m = parse_mapping({"entities": {"card": part("card"), "bank": part("bank")}})
     docs = Collections(spark, {"p": spark.range(10).select(F.lpad(F.hex("id"), 24, "0").alias("_id"), F.when(F.col("id") < 4, "card").otherwise("bank").alias("type"))})
     store = Store(spark, str(tmp_path / "t"))
@@ -210,9 +227,9 @@ def test_polymorphic_collection_fills_one_table(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     import yaml
 
-    (tmp_path / "m.yaml").write_text(yaml.safe_dump({**shop.MAPPING}))
-    (tmp_path / "t.sql").write_text(shop.DDL)
-    c = shop.collections(spark)
+    (tmp_path / "m.yaml").write_text(yaml.safe_dump({**ringing.MAPPING}))
+    (tmp_path / "t.sql").write_text(ringing.DDL)
+    c = ringing.collections(spark)
     for n in c.names():
         c.read(n).write.parquet(str(tmp_path / "in" / f"{n}.parquet"))
     common = ["--source", str(tmp_path / "in"), "--ddl", str(tmp_path / "t.sql"), "--mapping", str(tmp_path / "m.yaml")]
@@ -221,7 +238,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["validate", *common, "--target", str(tmp_path / "out")]) == 0
     assert main(["migrate", *common, "--target", str(tmp_path / "out"), "--mode", "append", "--only", "nobody"]) == 2
     assert main(["propose", "--source", str(tmp_path / "in"), "--ddl", str(tmp_path / "t.sql"), "--out", str(tmp_path / "p.yaml")]) == 0
-    assert "order_items" in (tmp_path / "p.yaml").read_text()
-    assert main(["reshape", "--source", str(tmp_path / "in"), "--collection", "orders", "--by", "userId", "--order", "createdAt", "--dest", str(tmp_path / "one.parquet")]) == 0
-    assert spark.read.parquet(str(tmp_path / "one.parquet")).count() == 1
+    assert "session_catches" in (tmp_path / "p.yaml").read_text()
+    assert main(["reshape", "--source", str(tmp_path / "in"), "--collection", "sessions", "--by", "ringerId", "--order", "openedAt", "--dest", str(tmp_path / "one.parquet")]) == 0
+    assert spark.read.parquet(str(tmp_path / "one.parquet")).count() == 2
     assert redacted("db://a:secret@h/x password=hunter2") == "db://a:***@h/x password=***"

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-import shop
+import ringing
 
 from docweave.plans.catalog import CatalogError, parse_ddl
 from docweave.plans.mapping import CycleError, MappingError, as_plain, collection_issues, dump_mapping, field_issues, load_mapping, parse_mapping, structure_issues
@@ -11,7 +11,7 @@ PARENT = {"target_field": "p", "references": "t.id"}
 
 
 def entity(**more):
-    return {"source": "s", "target": "t", "id_strategy": shop.UUID, **more}
+    return {"source": "s", "target": "t", "id_strategy": ringing.UUID, **more}
 
 
 @pytest.mark.parametrize(
@@ -65,17 +65,17 @@ def test_order_follows_lookups_at_any_depth_and_depends_on():
 
 
 def test_every_field_needs_a_disposition():
-    m = shop.mapping().entities["orders"]
-    seen = ["_id", "status", "createdAt", "userId", "items", "items[].productId", "items[].qty", "items[].price", "items[].note", "tagIds", "extra", "extra.deep"]
-    assert {i.message.split("'")[1] for i in field_issues("orders", m, seen)} == {"note", "extra"}
-    assert [i.where for i in collection_issues(shop.mapping(), ["users", "logs"])] == ["logs"]
+    m = ringing.mapping().entities["sessions"]
+    seen = ["_id", "weather", "openedAt", "ringerId", "catches", "catches[].speciesId", "catches[].ring", "catches[].wing", "catches[].grams", "catches[].age", "netIds", "moon", "moon.phase"]
+    assert {i.message.split("'")[1] for i in field_issues("sessions", m, seen)} == {"age", "moon"}
+    assert [i.where for i in collection_issues(ringing.mapping(), ["nets", "diary"])] == ["diary"]
 
 
 def test_ddl_and_its_order():
-    c = shop.catalog()
-    assert c.load_order() == [["products", "tags", "users"], ["orders"], ["order_items", "order_tags"]]
-    assert c["order_tags"].primary_key == ("order_id", "tag_id") and not c["order_tags"].columns["tag_id"].nullable
-    assert c["order_items"].columns["price"].spark.simpleString() == "decimal(12,2)"
+    c = ringing.catalog()
+    assert c.load_order() == [["nets", "ringers", "species"], ["sessions"], ["session_catches", "session_nets"]]
+    assert c["session_nets"].primary_key == ("session_id", "net_id") and not c["session_nets"].columns["net_id"].nullable
+    assert c["session_catches"].columns["grams"].spark.simpleString() == "decimal(7,2)" and c["session_catches"].columns["wing"].nullable
     loop = "create table a (id int primary key, b int references b(id){0}); create table b (id int primary key, a int references a(id){0});"
     with pytest.raises(CatalogError):
         parse_ddl(loop.format("")).load_order()
@@ -92,35 +92,35 @@ class Profile:
 
 def profiles():
     return [
-        Profile("users", [("_id", "objectid", None), ("email", "string", None), ("displayName", "string", None)]),
-        Profile("products", [("_id", "objectid", None), ("sku", "string", None), ("name", "string", None)]),
-        Profile("tags", [("_id", "objectid", None), ("label", "string", None)]),
-        Profile("orders", [("_id", "objectid", None), ("status", "string", None), ("createdAt", "date", None), ("userId", "objectid", None), ("items", "array", "object"), ("items[].productId", "objectid", None), ("items[].qty", "int", None), ("items[].price", "double", None), ("tagIds", "array", "scalar"), ("zzz", "int/string", None)]),
-        Profile("Quux", [("_id", "objectid", None)]),
+        Profile("species", [("_id", "objectid", None), ("code", "string", None), ("latin", "string", None)]),
+        Profile("ringers", [("_id", "objectid", None), ("familyName", "string", None), ("permit", "string", None), ("grade", "int", None)]),
+        Profile("nets", [("_id", "objectid", None), ("label", "string", None), ("metres", "double", None)]),
+        Profile("sessions", [("_id", "objectid", None), ("weather", "string", None), ("openedAt", "date", None), ("ringerId", "objectid", None), ("netIds", "array", "scalar"), ("catches", "array", "object"), ("catches[].speciesId", "objectid", None), ("catches[].ring", "string", None), ("catches[].wing", "int", None), ("catches[].grams", "double", None), ("moon", "int/string", None)]),
+        Profile("Xylophone", [("_id", "objectid", None)]),
     ]
 
 
-def test_proposal_of_the_shop():
-    made = propose(profiles(), shop.catalog())
+def test_proposal_for_the_station():
+    made = propose(profiles(), ringing.catalog())
     e = made.mapping.entities
-    assert {n: x.target for n, x in e.items()} == {n: n for n in ("users", "products", "tags", "orders")}
-    assert e["users"].fields["displayName"].target == "display_name" and e["orders"].id_strategy.type == "objectid_to_uuid"
-    assert e["orders"].fields["userId"].lookup == "users" and e["orders"].fields["createdAt"].target == "created_at"
-    assert e["orders"].explode["items"].target == "order_items" and e["orders"].explode["items"].fields["productId"].lookup == "products"
-    assert e["orders"].junction["tagIds"].target == "order_tags" and e["orders"].junction["tagIds"].child_fk.lookup == "tags"
-    assert e["orders"].unmapped.drop == ("zzz",) and made.mapping.excluded_collections == ("Quux",)
+    assert {n: x.target for n, x in e.items()} == {n: n for n in ("species", "ringers", "nets", "sessions")}
+    assert e["ringers"].fields["familyName"].target == "family_name" and e["sessions"].id_strategy.type == "objectid_to_uuid"
+    assert e["sessions"].fields["ringerId"].lookup == "ringers" and e["sessions"].fields["openedAt"].target == "opened_at"
+    catches, nets = e["sessions"].explode["catches"], e["sessions"].junction["netIds"]
+    assert catches.target == "session_catches" and catches.fields["speciesId"].lookup == "species" and nets.target == "session_nets" and nets.child_fk.lookup == "nets"
+    assert e["sessions"].unmapped.drop == ("moon",) and made.mapping.excluded_collections == ("Xylophone",)
     assert any("several types" in n.message for n in made.notes)
     json.dumps(as_plain(made.mapping))
     assert not [i for i in structure_issues(made.mapping) if i.severity == "error"]
 
 
 def test_suggestions_are_checked():
-    made = propose(profiles(), parse_ddl(shop.DDL.replace("status TEXT NOT NULL", "status TEXT NOT NULL, remark TEXT")))
-    table = parse_ddl(shop.DDL.replace("status TEXT NOT NULL", "status TEXT NOT NULL, remark TEXT"))["orders"]
-    e = made.mapping.entities["orders"]
+    ddl = ringing.DDL.replace("weather TEXT NOT NULL", "weather TEXT NOT NULL, remark TEXT")
+    made, table = propose(profiles(), parse_ddl(ddl)), parse_ddl(ddl)["sessions"]
+    e = made.mapping.entities["sessions"]
     assert "remark" in payload(profiles()[3], table, e)
-    new, notes = apply_suggestions(e, table, [Suggestion("zzz", "remark"), Suggestion("zzz", "status"), Suggestion("nope", "remark")])
-    assert new.fields["zzz"].target == "remark" and new.unmapped.drop == () and len(notes) == 3
+    new, notes = apply_suggestions(e, table, [Suggestion("moon", "remark"), Suggestion("moon", "weather"), Suggestion("nope", "remark")])
+    assert new.fields["moon"].target == "remark" and new.unmapped.drop == () and len(notes) == 3
 
 
 def test_names():
