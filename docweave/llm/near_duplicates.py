@@ -48,7 +48,7 @@ BLOCKS, LEVELS = 64, 4
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
 #: Star rounds at most, and the pairs a posting above which another one is worth it.
-STAR_ROUNDS, CROWD = 2, 8
+STAR_ROUNDS, CROWD = 5, 8
 #: Bytes that are hashed together.
 STRETCH = 1 << 19
 #: Parity bits of a set, and of one of more than WIDE_FROM shingles, for which the former are too few.
@@ -420,7 +420,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def star_pairs(now: DataFrame, rnd: int, percent: int) -> DataFrame:
     """Candidates of a star round: in each group the members, and those of the band below, with one of the group."""
-    pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
+    # At first the least member, so that copies meet one hub by all their shingles; then the one with the most links, which is likelier near the rest; then any.
+    first = F.col("_member") if rnd == 0 else F.struct(-F.col("_links"), "_member") if rnd == 1 else F.xxhash64("_root", "_token", F.lit(rnd))
+    pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_root"), first)
     hubs = now.groupBy("_token", "_band").agg(pick.alias("_hub")).select("_token", F.explode(F.array("_band", F.col("_band") - 1)).alias("_band"), "_hub.*")
     return paired(now, hubs, F.col("p._band") == F.col("q._band"), (F.col("p._root") != F.col("q._root")) & may_link("p", "q", percent))
 
@@ -439,9 +441,11 @@ def paired(p: DataFrame, q: DataFrame, bands: Column, chance: Column) -> DataFra
     return met.select(F.least("p._member", "q._member").alias("a"), F.greatest("p._member", "q._member").alias("b")).distinct()
 
 
-def still_open(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """live with _root, of the shingles of more than two postings whose members are not all in one component."""
-    rooted = live.filter("_many").join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member")).drop("root")
+def still_open(live: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """live with _root, and the number of a member's _links, of the shingles of more than two postings whose members are not all in one component."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
+    known = roots.join(ends, "node", "left").withColumnRenamed("node", "_member")
+    rooted = live.filter("_many").join(known, "_member", "left").withColumn("_root", F.coalesce("root", "_member")).withColumn("_links", F.coalesce("_links", F.lit(0))).drop("root")
     open_ = rooted.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo < _hi").select("_token")
     return stored(rooted.join(open_, "_token", "left_semi"))
 
@@ -487,7 +491,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         if last:
             break
         rnd += 1
-        now = still_open(live, roots)
+        now = still_open(live, roots, links)
         last = rnd == STAR_ROUNDS or not more or not crowded(now)
     classed = rows.join(roots.withColumnRenamed("node", "_member"), "_member", "left").withColumn("_root", F.coalesce("root", "_member"))
     lowest = classed.filter("_root is not null").groupBy("_root").agg(F.min("_doc").alias("_least"))
