@@ -11,7 +11,7 @@
    other, can be alike. A shingle that one member posts, or two of sizes too far apart, goes no further than its count.
 5. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
    group pairs its members, and those of the band below, with one of them only; what that links becomes one component. That is all there is to shingles with two postings.
-   Star rounds go on while groups are large and new links are found. The last round pairs all members that share one of the other shingles and are still in different components. Each pair of
+   The second star round has two such hubs for each part of a group whose parity bits agree in a stretch, as members of a wide group seldom link with any one. Star rounds go on while groups are large and new links are found. The last round pairs all members that share one of the other shingles and are still in different components. Each pair of
    candidates is thus verified, or connected by links that were, and no group needs a cap.
 
 Verification routes each pair to the sets of both members; pairs are never collected, and components are found by rounds of
@@ -49,6 +49,8 @@ BLOCKS, LEVELS = 64, 4
 BITS = 1 << 26
 #: Star rounds at most, and the pairs a posting above which another one is worth it.
 STAR_ROUNDS, CROWD = 2, 8
+#: Shingles by which a member meets others in a star round but the first.
+MEETINGS = 3
 #: Bytes that are hashed together.
 STRETCH = 1 << 19
 #: Parity bits of a set, and of one of more than WIDE_FROM shingles, for which the former are too few.
@@ -418,11 +420,30 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def star_pairs(now: DataFrame, rnd: int, percent: int) -> DataFrame:
-    """Candidates of a star round: in each group the members, and those of the band below, with one of the group."""
-    pick = F.min_by(F.struct("_member", "_size", "_at", "_low", "_root"), F.xxhash64("_root", F.lit(rnd)) if rnd else F.col("_member"))
-    hubs = now.groupBy("_token", "_band").agg(pick.alias("_hub")).select("_token", F.explode(F.array("_band", F.col("_band") - 1)).alias("_band"), "_hub.*")
-    return paired(now, hubs, F.col("p._band") == F.col("q._band"), (F.col("p._root") != F.col("q._root")) & may_link("p", "q", percent))
+def star_pairs(now: DataFrame, rnd: int, posts: DataFrame, percent: int) -> DataFrame:
+    """Candidates of a star round: in each group the members, and those of the band below, with one of the group.
+
+    From the second round on, members meet by some of their open shingles only, but two hubs in each of the group's parts too: members whose
+    parity bits agree in one stretch. Near copies often do, so that whom they meet there is likely to link, though the group be wide. What
+    neither these shingles nor these parts bring together is left to the last round.
+    """
+    if rnd:
+        some = [F.min_by(F.struct("_token", "_at", "_low"), F.xxhash64("_token", F.lit(t))) for t in range(MEETINGS)]
+        each = now.groupBy("_member", "_size", "_band", "_root").agg(F.array_distinct(F.array(*some)).alias("_some"))
+        marked = each.join(posts.select("_member", "_marks"), "_member")
+        # Half as many bits where sets are large, and more of them odd.
+        stretch = [F.shiftrightunsigned(F.get("_marks", F.lit(k // 2)), 32 * (k % 2)).bitwiseAND(F.when(F.col("_size") > WIDE_FROM // 5, F.lit(0xFFFF)).otherwise(F.lit(0xFFFFFFFF))) for k in range(MARKS // 32)]
+        parts = F.array(F.lit(0).cast("bigint"), *[F.xxhash64(F.lit(k), x) for k, x in enumerate(stretch)])
+        now = marked.select("*", F.explode("_some").alias("_one")).select("_member", "_size", "_band", "_root", "_marks", "_one.*", F.explode(parts).alias("_part"))
+    else:
+        now = now.withColumn("_part", F.lit(0).cast("bigint"))
+    one = F.struct("_member", "_size", "_at", "_low", "_root", *["_marks"] * bool(rnd))
+    order = F.xxhash64("_root", "_member")
+    picks = F.array(F.min_by(one, order), F.max_by(one, order)) if rnd else F.array(F.min_by(one, "_member"))
+    picked = now.groupBy("_token", "_band", "_part").agg(F.array_distinct(picks).alias("_hubs")).withColumn("_hub", F.explode("_hubs"))
+    hubs = picked.select("_token", "_part", F.explode(F.array("_band", F.col("_band") - 1)).alias("_band"), "_hub.*")
+    chance = (F.col("p._root") != F.col("q._root")) & may_link("p", "q", percent)
+    return paired(now, hubs, (F.col("p._band") == F.col("q._band")) & (F.col("p._part") == F.col("q._part")), chance & like_bits("p", "q", percent) if rnd else chance)
 
 
 def open_pairs(now: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
@@ -469,7 +490,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rnd, last, now = 0, False, live.withColumn("_root", F.col("_member"))
     while True:
         released(spark)
-        pairs = open_pairs(now, posts, percent) if last else star_pairs(now, rnd, percent)
+        pairs = open_pairs(now, posts, percent) if last else star_pairs(now, rnd, posts, percent)
         if rnd:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(still_likely(pairs, posts, percent))
