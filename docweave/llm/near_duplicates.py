@@ -405,8 +405,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), root being the smallest node of its component, by alternating large and small stars."""
     least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    mark = None
-    while True:
+    while not all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -414,10 +413,13 @@ def components(edges: DataFrame) -> DataFrame:
         spread = large.join(m, "u")
         small = spread.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stored(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def all_stars(e: DataFrame) -> bool:
+    """Whether each node of the distinct edges (u, v), v being the smaller, has one edge down and none up, or only edges up: then v is the least node of u's component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("_down"), F.lit(0).alias("_up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("_down"), F.lit(1).alias("_up")))
+    return ends.groupBy("node").agg(F.sum("_down").alias("_down"), F.max("_up").alias("_up")).filter((F.col("_down") + F.col("_up") > 1) & (F.col("_down") > 0)).isEmpty()
 
 
 def star_pairs(now: DataFrame, rnd: int, posts: DataFrame, percent: int) -> DataFrame:
