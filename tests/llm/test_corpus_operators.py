@@ -426,6 +426,34 @@ def test_near_duplicates(spark, k, percent):
     assert sorted((r._doc, r.n_shingles, r.component_id) for r in out) == near_brute(rows, k, percent)
 
 
+@pytest.mark.parametrize(("length", "edits"), [(90, 6), (400, 20)])
+def test_wide_group_of_near_copies(spark, monkeypatch, length, edits):
+    rnd, rounds, plain = random.Random(length), [], near_duplicates.star_pairs
+    monkeypatch.setattr(near_duplicates, "CROWD", 0)
+    monkeypatch.setattr(near_duplicates, "star_pairs", lambda now, n, *rest: (rounds.append(n), plain(now, n, *rest))[1])
+    base, rows = [f"w{i}" for i in range(length)], []
+    for i in range(120):  # copies of one text, of which many are too far from each other to link
+        words = list(base)
+        for _ in range(rnd.randint(1, edits)):
+            words[rnd.randrange(length)] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(words[: length - rnd.randint(0, length // 20)])))
+    out = near_duplicates.link(docs(spark, rows), words=3, percent=80).collect()
+    assert sorted((r._doc, r.n_shingles, r.component_id) for r in out) == near_brute(rows, 3, 80)
+    assert rounds == [0, 1]
+
+
+def test_components_are_those_of_a_plain_union(spark):
+    rnd = random.Random(7)
+    for edges in ([(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 20)], [(rnd.randrange(50), rnd.randrange(50)) for _ in range(40)], []):
+        root = {n: n for e in edges if e[0] != e[1] for n in e}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     assert near_duplicates.link(docs(spark, [])).count() == 0
     text = "a b c d e f g"
