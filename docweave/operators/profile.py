@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.keys import settled
+
 #: How far an array is looked into.
 HEAD = 20
 #: A share of documents that makes a shape count; distinct values that a discriminator may have; the mean purity that it must have.
@@ -54,7 +56,7 @@ def walk(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(path, type, item): a row for each field of each document; item is the type of an item where the row stands for one of an array's.
 
     Objects are entered (a.b), objects in arrays too (a[].b), each level by one explode, until none is left. A level's plan holds the
-    one before it twice, so what is still to be entered is settled at each, in as many partitions as docs have.
+    one before it twice, so what is still to be entered is checkpointed at each, in as many partitions as docs have.
     """
     frame = docs.select(F.lit("").alias("path"), F.col(doc).alias("v"))
     parts = docs.rdd.getNumPartitions()
@@ -67,7 +69,7 @@ def walk(docs: DataFrame, doc: str = "doc") -> DataFrame:
         here = here.unionByName(items.select("path", F.lit(None).cast("string").alias("type"), "item"))
         out = here if out is None else out.unionByName(here)
         frame = typed.filter(F.col("type") == "object").select("path", "v").unionByName(items.filter(F.col("item") == "object").select(F.concat("path", F.lit("[]")).alias("path"), "v"))
-        frame = frame.coalesce(parts).localCheckpoint()
+        frame = settled(frame.coalesce(parts))
         if frame.isEmpty():
             break
     return out
