@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.keys import NAMESPACE, new_id, with_sequence
+from docweave.functions.keys import NAMESPACE, new_id, settled, shared_folder, with_sequence
 from docweave.functions.paths import get_array, get_path, packed
 from docweave.functions.transforms import compile_transform, value
 from docweave.operators import fanin, merge, profile, reconcile
 from docweave.operators.compile import as_document, compile_entity, matches
-from docweave.operators.lookup import dangling, lookup, upsert_id_map
+from docweave.operators.lookup import LookupError_, dangling, lookup, require_loaded, upsert_id_map
 from docweave.plans.mapping import parse_mapping
+from docweave.sources.collections import Collections
+from docweave.sources.store import Store
+from docweave.streaming.load import load
 
 OTHER_NAMESPACE = "11111111-2222-4333-8444-555555555555"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +67,7 @@ def orders_doc(spark: SparkSession, d: str) -> DataFrame:
 UUID = {"type": "objectid_to_uuid", "source_field": "_id"}
 
 
-def order_mapping(on_missing: str = "skip_row", item_policy: str = "skip_row", junction_policy: str = "skip_row"):
+def order_load(on_missing: str = "skip_row", item_policy: str = "skip_row", junction_policy: str = "skip_row"):
     return parse_mapping(
         {
             "entities": {
@@ -79,15 +83,25 @@ def order_mapping(on_missing: str = "skip_row", item_policy: str = "skip_row", j
             },
             "external_entities": ["customers", "parts", "suppliers"],
         }
-    ).entities["orders"]
+    )
 
 
-def order_ids(spark: SparkSession, d: str, customers: str = "c_mktsegment <> 'BUILDING'", parts: str = "p_size <= 40", suppliers: str = "s_nationkey < 20") -> DataFrame:
-    return customer_ids(spark, d, customers).unionByName(id_map(t(spark, d, "part").filter(parts), "p_partkey", "parts")).unionByName(id_map(t(spark, d, "supplier").filter(suppliers), "s_suppkey", "suppliers"))
+def order_id_maps(spark: SparkSession, d: str, customers: str = "c_mktsegment <> 'BUILDING'", parts: str = "p_size <= 40", suppliers: str = "s_nationkey < 20") -> dict[str, DataFrame]:
+    return {"customers": customer_ids(spark, d, customers), "parts": id_map(t(spark, d, "part").filter(parts), "p_partkey", "parts"), "suppliers": id_map(t(spark, d, "supplier").filter(suppliers), "s_suppkey", "suppliers")}
 
 
-def compiled(spark: SparkSession, d: str, **policies: str):
-    return compile_entity("orders", order_mapping(**policies), orders_doc(spark, d), order_ids(spark, d))
+def order_ids(spark: SparkSession, d: str, **where: str) -> DataFrame:
+    customers, parts, suppliers = order_id_maps(spark, d, **where).values()
+    return customers.unionByName(parts).unionByName(suppliers)
+
+
+def scratch_store(spark: SparkSession) -> Store:
+    """An empty target in a folder of its own, below the one for checkpoints, which all machines share."""
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+def compiled(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df, **policies: str):
+    return compile_entity("orders", order_load(**policies).entities["orders"], orders_doc(spark, d), order_ids(spark, d), keep=keep)
 
 
 LIVE = "orders JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'"
@@ -330,7 +344,12 @@ def q_lookup_external(spark, d):
 def q_never_loaded(spark, d):
     ids = customer_ids(spark, d)
     found = lookup(t(spark, d, "orders").select("o_custkey"), F.col("o_custkey"), ids, "nobody", "x")
-    return found.agg((~F.lit(not ids.filter("entity = 'nobody'").isEmpty())).alias("never_loaded"), F.count_if(F.expr("x_missed")).alias("n_missed"))
+    try:
+        require_loaded(ids, {"nobody": found.filter("x_missed")})
+        never = False
+    except LookupError_:
+        never = True
+    return found.agg(F.lit(never).alias("never_loaded"), F.count_if(F.expr("x_missed")).alias("n_missed"))
 
 
 @query("SELECT 'orders' AS entity, o_custkey::VARCHAR AS source_id, max(o_orderkey)::VARCHAR AS target_id FROM orders GROUP BY o_custkey UNION ALL SELECT 'orders', 'old', 'kept'")
@@ -401,7 +420,7 @@ def q_junction_skip(spark, d):
 
 @query(f"SELECT {sql_uuid('l_orderkey::VARCHAR')} AS order_id, {sql_uuid('l_suppkey::VARCHAR')} AS supplier_id FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
 def q_junction(spark, d):
-    return compile_entity("orders", order_mapping(), orders_doc(spark, d), order_ids(spark, d, "true", "true", "true")).junctions["order_suppliers"]
+    return compile_entity("orders", order_load().entities["orders"], orders_doc(spark, d), order_ids(spark, d, customers="true", parts="true", suppliers="true")).junctions["order_suppliers"]
 
 
 def amounts(spark: SparkSession, d: str, skip_null: bool) -> DataFrame:
@@ -470,8 +489,14 @@ def q_append_conflict(spark, d):
 
 @query("SELECT c_custkey, upper(c_name) AS c_name, c_acctbal * 2 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0")
 def q_truncate_load(spark, d):
+    """A load of the old rows, and one of the new with mode truncate: what the target's table holds then."""
     old, new = old_and_new(spark, d)
-    return fanin.reshape(new, lambda x: x, old, "out")
+    fields = {"c_custkey": "c_custkey", "c_name": "c_name", "c_acctbal": "c_acctbal"}
+    made = {"source": "customer", "target": "customer", "id_strategy": {"type": "objectid_to_uuid", "source_field": "c_custkey"}, "fields": fields}
+    m, store = parse_mapping({"entities": {"customer": made}}), scratch_store(spark)
+    for rows in (old, new):
+        load(m, Collections(spark, {"customer": rows.drop("note").withColumn("_id", F.col("c_custkey"))}), store, "truncate")
+    return store.read("customer").select("c_custkey", "c_name", "c_acctbal")
 
 
 # Fan-in
@@ -497,10 +522,14 @@ def q_fanin_filter(spark, d):
     return fanin.pick_one(t(spark, d, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], "turn", where="role = 'assistant'").drop("role")
 
 
-@query("SELECT user_id, max(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY user_id UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey < 200 AND c_custkey NOT IN (SELECT user_id FROM events WHERE user_id % 2 = 0)")
+SIGNED = "CASE WHEN user_id % 2 = 0 THEN user_id ELSE -user_id END"
+
+
+@query(f"WITH e AS (SELECT {SIGNED} AS user_id, value FROM events) SELECT user_id, max(value) AS value FROM e GROUP BY user_id UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM e WHERE user_id IS NOT NULL)")
 def q_fanin_merge(spark, d):
-    target = t(spark, d, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("user_id"), F.lit(-1.0).alias("value"))
-    source = t(spark, d, "events").filter("user_id % 2 = 0").select("user_id", "value")
+    """All events into all customers. Odd users' ids are negated, so that some keys are on one side only."""
+    target = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(-1.0).alias("value"))
+    source = t(spark, d, "events").select(F.expr(SIGNED).alias("user_id"), "value")
     return fanin.reshape(source, lambda x: fanin.pick_one(x, ["user_id"], "value"), target, "merge", ["user_id"])
 
 
@@ -557,12 +586,16 @@ SELECT 'orders' AS "table", (SELECT count(*) FROM orders) AS source, (SELECT cou
 UNION ALL SELECT 'order_items', (SELECT count(*) FROM lineitem JOIN {LIVE} ON l_orderkey = o_orderkey), (SELECT count(*) FROM lineitem JOIN {LIVE} ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 40), (SELECT count(*) FROM lineitem JOIN {LIVE} ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 40)"""
 )
 def q_count_diff(spark, d):
-    made = compiled(spark, d)
-    ended = made.events.filter("kind = 'S'").groupBy("table").agg(F.count(F.lit(1)).alias("expected_skip"))
-    main = made.main[1].select(F.lit("orders").alias("table"))
-    have = main.unionByName(made.children["order_items"].select(F.lit("order_items").alias("table"))).groupBy("table").agg(F.count(F.lit(1)).alias("target"))
-    both = have.join(ended, "table", "left").withColumn("expected_skip", F.coalesce("expected_skip", F.lit(0)).cast("long"))
-    return both.select("table", (F.col("target") + F.col("expected_skip")).alias("source"), "expected_skip", "target")
+    """A load into a store of its own, and the counts that reconcile finds between its tables and the source."""
+    store, sources = scratch_store(spark), Collections(spark, {"orders": settled(orders_doc(spark, d))})
+    staged = store.begin()
+    for entity, ids in order_id_maps(spark, d).items():
+        staged.add_ids(entity, ids)
+    staged.publish()
+    m = order_load()
+    load(m, sources, store, "truncate")
+    counts = [(c.table, c.source, c.expected_skip, c.target) for c in reconcile.reconcile(m, sources, store).counts]
+    return spark.createDataFrame(counts, "`table` string, source bigint, expected_skip bigint, target bigint").filter("`table` <> 'order_suppliers'")
 
 
 @query("SELECT (SELECT count(*) FROM lineitem) AS nested_rows, (SELECT count(*) FROM orders) AS items")
@@ -653,12 +686,12 @@ def q_varchar_check(spark, d):
 @query()
 def q_sample(spark, d):
     df = t(spark, d, "customer").select("c_custkey")
-    return profile.sampled(df, 100, 10**9 if d is None else 10**6, 7)
+    return profile.sampled(df, 100, df.count(), 7)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Orders with embedded items, loaded under a skip policy: rows of each table, and what was left out, by field."""
-    made = compiled(spark, d)
+    made = compiled(spark, d, keep=settled)
     rows = None
     for table, df in made.tables().items():
         part = df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table"), F.lit("rows").alias("what"), "n")
