@@ -1,17 +1,20 @@
 """N-gram Jaccard join: the links between documents whose shingle sets are alike, and the groups that the links make.
 
 1. A document's shingles are hashed to 64 bits; documents with the same set are one class and go on as one member.
-2. Shingles are ordered rare first, by a count sketch of a fixed size, and a member posts its prefix: so many of its first
-   shingles that two members as alike as asked for share one of them at least. Any order that all members agree on gives
-   the same links; what the sketch confuses costs time, not links.
-3. Members that share a posted shingle are candidates if length, positional and suffix filters leave them a chance, and a
+2. A member posts parts of its set. The hash range is cut into a little more parts than two sets that link can differ in shingles, so that
+   some part is the same in both; its token is the hash of all the shingles in it, and of two unlike texts hardly any. With the parts ordered
+   rare first, by their number of shingles and by a count sketch of a fixed size, a member posts its prefix: one more than a partner can lack.
+   Any order that all members agree on gives the same links; what the sketch confuses costs time, not links. The number of parts goes by a range
+   of set sizes from one power of two to the next, and a member whose partners may lie in the next range posts there too. One with too few parts
+   to be sure shares a token with all such of its range. Below PARTS_FROM percent parts would be single shingles: a member then posts these, rare first.
+3. Members that share a posted token are candidates if length, positional and suffix filters leave them a chance, and a
    bitmap filter too: with a parity bit for each of MARKS parts of the hash range, two sets differ in as many shingles at least as their
    bits differ. Filters are conditions of the join itself, but for bitmaps where a member meets one other only, and those of long texts. Each pair is verified once on whole sets.
-4. Postings are grouped by shingle and band of set sizes; bands are so wide that only members of one band, or of two next to each
-   other, can be alike. A shingle that one member posts, or two of sizes too far apart, goes no further than its count.
+4. Postings are grouped by token and band of set sizes; bands are so wide that only members of one band, or of two next to each
+   other, can be alike. A token that one member posts, or two of sizes too far apart, goes no further than its count.
 5. A group of near copies would make candidates by the square of its size, so links are found in rounds. In a star round each
-   group pairs its members, and those of the band below, with one of them only; what that links becomes one component. That is all there is to shingles with two postings.
-   The second star round has two such hubs for each part of a group whose parity bits agree in a stretch, as members of a wide group seldom link with any one. Star rounds go on while groups are large and new links are found. The last round pairs all members that share one of the other shingles and are still in different components. Each pair of
+   group pairs its members, and those of the band below, with one of them only; what that links becomes one component. That is all there is to tokens with two postings.
+   The second star round has two such hubs for each part of a group whose parity bits agree in a stretch, as members of a wide group seldom link with any one. Star rounds go on while groups are large and new links are found. The last round pairs all members that share one of the other tokens and are still in different components. Each pair of
    candidates is thus verified, or connected by links that were, and no group needs a cap.
 
 Verification routes each pair to the sets of both members; pairs are never collected, and components are found by rounds of
@@ -45,6 +48,8 @@ if TYPE_CHECKING:
 SKETCH = 1 << 21
 #: Blocks in which partial sketches are added up, and levels per doubling of a count.
 BLOCKS, LEVELS = 64, 4
+#: Least similarity in percent for which members post parts of their sets, and levels by which each further shingle makes a part rarer.
+PARTS_FROM, RARER = 75, 8
 #: Bits of the bitmap that says which members' sets may be wanted.
 BITS = 1 << 26
 #: Star rounds at most, and the pairs a posting above which another one is worth it.
@@ -243,9 +248,9 @@ def summed(partial: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, text_col: str, words: int, percent: int) -> DataFrame:
-    """(_member, _size, _tokens, _lows, _marks, _wide): the shingles that each member posts, rarest first, and what its filters go by.
+    """(_member, _size, _tokens, _lows, _marks, _wide): the tokens that each member posts, rarest first, and what its filters go by.
 
-    _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range; _marks holds the set's
+    _lows says, for each of them, how many of the member's shingles behind it are in the lower half of the hash range, or once for all parts how many of the set are; _marks holds the set's
     parity bits, and _wide more of them where the set is large. Copies post alike, so one row of each member is kept.
     """
 
@@ -282,9 +287,9 @@ def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def live_postings(posts: DataFrame, percent: int) -> DataFrame:
-    """(_token, _many, _member, _size, _band, _at, _low) of the shingles by which members might meet: those that more than two post (_many), or two of like sizes.
+    """(_token, _many, _member, _size, _band, _at, _low) of the tokens by which members might meet: those that more than two post (_many), or two of like sizes.
 
-    Most shingles are posted once. Counting them shuffles nothing but shingles and sizes; a bitmap of fixed size then keeps most of the others
+    Most tokens are posted once. Counting them shuffles nothing but tokens and sizes; a bitmap of fixed size then keeps most of the others
     from being shuffled with what the filters need, and a join the rest.
     """
     count = posts.select("_size", F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_n"), F.min("_size").cast("long").alias("_lo"), F.max("_size").cast("long").alias("_hi"))
@@ -301,7 +306,10 @@ def live_postings(posts: DataFrame, percent: int) -> DataFrame:
             keep = is_set(bits, tokens)
             at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
             rows = np.repeat(np.arange(b.num_rows), n)[keep]
-            each = [tokens[keep], b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], at[keep].astype(np.int32), b.column(3).flatten().to_numpy()[keep]]
+            lows = b.column(3).flatten().to_numpy()
+            # A part has no place: the whole set stands behind it.
+            at, lows = (np.full(len(rows), -1), lows[rows]) if percent >= PARTS_FROM else (at[keep], lows[keep])
+            each = [tokens[keep], b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], at.astype(np.int32), lows]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, each)), names=["_token", "_member", "_size", "_at", "_low"])
 
     some = posts.select("_member", "_size", "_tokens", "_lows").mapInArrow(spread, "_token bigint, _member bigint, _size int, _at int, _low int")
@@ -314,10 +322,39 @@ def posted(s: np.ndarray, levels: np.ndarray, percent: int):
     """(member, size, tokens, lows, marks, wide) of a set, or nothing of an empty one."""
     if not len(s):
         return None
-    p = prefix_size(len(s), percent)
-    order = np.lexsort((s, levels[bucket(s).astype(np.int64)]))
-    low = (s[order] >> np.uint64(63)) == 0
-    return member(s), len(s), s[order[:p]].view(np.int64), (low.sum() - np.cumsum(low[:p])).astype(np.int32), parity(s, MARKS), parity(s, WIDE) if len(s) > WIDE_FROM else None
+    of = levels[bucket(s).astype(np.int64)]
+    if percent >= PARTS_FROM:
+        tokens, lows = part_tokens(s, of, percent), np.array([np.searchsorted(s, np.uint64(1 << 63))], np.int32)
+    else:
+        p, order = prefix_size(len(s), percent), np.lexsort((s, of))
+        low = (s[order] >> np.uint64(63)) == 0
+        tokens, lows = s[order[:p]], (low.sum() - np.cumsum(low[:p])).astype(np.int32)
+    return member(s), len(s), tokens.view(np.int64), lows, parity(s, MARKS), parity(s, WIDE) if len(s) > WIDE_FROM else None
+
+
+def part_tokens(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of the parts that a set posts, given the levels of its shingles; of two sets that link one token is the same.
+
+    With n and m shingles they differ in (100 - percent) / (100 + percent) of n + m at most, and so in so many parts. Of all parts that they
+    share take the first in the common order: before it stand no more than that many in either set, so both have posted it. If they share
+    none, both have no more parts than that, and post the token of such sets.
+    """
+    n, out = len(s), []
+    g = n.bit_length() - 1
+    while percent << g <= 100 * n:  # the least size of the range is not too large for a partner
+        top = (2 << g) - 1
+        differ = (100 - percent) * (n + min(100 * n // percent, top)) // (100 + percent)
+        if differ:  # else only the same set would do
+            parts = 6 * ((100 - percent) * 2 * top // (100 + percent) + 1) // 5 + 2
+            part = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            token = mixed(np.add.reduceat(s, at) + (part[at] + np.uint64((g << 32) + 1)) * BASE)
+            rare = np.minimum.reduceat(levels, at).astype(np.int64) - RARER * (np.diff(at, append=n) - 1)
+            out.append(token[np.lexsort((token, rare))[: differ + 1]])
+            if len(at) <= differ:
+                out.append(mixed(np.array([g << 32], np.uint64) * BASE))
+        g += 1
+    return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -330,9 +367,9 @@ def member(s: np.ndarray) -> int:
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether two postings of one shingle leave their members a chance: by length, by place, and by what stands behind.
+    """Whether two postings of one token leave their members a chance: by length, by place, and by what stands behind.
 
-    Members that alike have overlap * (100 + percent) >= percent * (sum of sizes). Two that post a shingle share at most what
+    Members that alike have overlap * (100 + percent) >= percent * (sum of sizes). Two that post a shingle (a part stands at -1) share at most what
     stands before the earlier of its places, the shingle, and of what stands behind it the smaller count in each half of the hash range.
     """
     n, m = F.col(f"{a}._size").cast("long"), F.col(f"{b}._size").cast("long")
@@ -408,7 +445,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         m = least(large)
         spread = large.join(m, "u")
         small = spread.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
@@ -487,8 +524,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     posts = prefixes(docs, sketch, text_col, words, percent)
     live = live_postings(posts, percent)
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = links
+    tried = spark.createDataFrame([], "a bigint, b bigint")
     rnd, last, now = 0, False, live.withColumn("_root", F.col("_member"))
     while True:
         released(spark)
@@ -498,15 +534,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs = stored(still_likely(pairs, posts, percent))
         tried = tried.unionByName(pairs)
         wanted = pairs.select(F.col("a").alias("_member")).unionByName(pairs.select(F.col("b").alias("_member"))).distinct()
-        found = links.limit(0)
+        found = tried.limit(0)
         if not pairs.isEmpty():
             # Both sides of the pairs read the same exchange of sets.
             found = stored(verified(pairs, whole_sets(docs, rows, wanted, id_col, text_col, words), percent).distinct())
         more = not found.isEmpty()
         if more:
-            links = links.unionByName(found)
-            # To the end, as members that still had different roots would meet again in the next round.
-            roots = stored(components(links))
+            # To the end, as members that still had different roots would meet again in the next round. The components so far are stars.
+            roots = stored(components(roots.toDF("a", "b").unionByName(found)))
         if last:
             break
         rnd += 1

@@ -442,6 +442,36 @@ def test_wide_group_of_near_copies(spark, monkeypatch, length, edits):
     assert rounds == [0, 1]
 
 
+@pytest.mark.parametrize("percent", [75, 80, 90, 99])
+def test_sets_that_link_post_a_token_in_common(percent):
+    rng = np.random.default_rng(percent)
+    levels, linked = rng.integers(0, 60, near_duplicates.SKETCH).astype(np.uint8), 0
+    for n in rng.integers(1, [20, 300, 1500], (300, 3)).ravel():
+        s = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        fewer, more = rng.integers(0, int(n * (100 - percent) / 80) + 2, 2)
+        t = np.unique(np.concatenate([rng.permutation(s)[: max(1, n - fewer)], rng.integers(0, 1 << 64, more, np.uint64)]))
+        common = len(np.intersect1d(s, t))
+        if 100 * common >= percent * (len(s) + len(t) - common) and len(s) + len(t) > 2 * common:
+            linked += 1
+            a, b = (near_duplicates.part_tokens(x, levels[near_duplicates.bucket(x).astype(np.int64)], percent) for x in (s, t))
+            assert len(np.intersect1d(a, b))
+    assert linked > 50
+
+
+def test_shingles_shared_by_chance_make_no_candidates(spark):
+    rnd = random.Random(31)
+    rows = [(i, " ".join(rnd.choice("abcdefghijkl") for _ in range(60))) for i in range(400)]  # each of 1728 shingles in some 13 texts
+    rows += [(1000 + i, t.rsplit(" ", 2)[0]) for i, t in rows[:20]]
+    given = docs(spark, rows)
+    _, partial = near_duplicates.signed(given, "doc_id", "text", 3)
+    sketch = spark.sparkContext.broadcast(near_duplicates.packed(near_duplicates.summed(partial)))
+    posts = near_duplicates.prefixes(given, sketch, "text", 3, 90)
+    live = near_duplicates.live_postings(posts, 90)
+    assert {r._size for r in live.select("_size").collect()} and live.count() < 0.15 * posts.selectExpr("sum(size(_tokens))").first()[0]
+    out = near_duplicates.link(given, words=3, percent=90).collect()
+    assert sorted((r._doc, r.n_shingles, r.component_id) for r in out) == near_brute(rows, 3, 90)
+
+
 def test_components_are_those_of_a_plain_union(spark):
     rnd = random.Random(7)
     for edges in ([(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 20)], [(rnd.randrange(50), rnd.randrange(50)) for _ in range(40)], []):
