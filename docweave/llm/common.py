@@ -43,6 +43,16 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to Python in batches of a few MB.
+
+    By default a batch holds 10,000 rows; of whole texts, or of pairs of sets, that is tens of MB several times over, in Python and in the
+    executor's memory outside its heap, which neither gives back.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def text_groups(texts: pa.Array, limit: int) -> Iterator[list[str]]:
     """An Arrow array of texts in lists of at most `limit` bytes, or of one longer text; a null is an empty text."""
     import numpy as np

@@ -39,12 +39,14 @@ def softened(cells: DataFrame, margin: str, power: float = 0.5, weight: str = "_
 def raked(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "_tokens", rounds: int = ROUNDS, apart: tuple[str, ...] = (), total: Column | None = None, most: Column | None = None) -> DataFrame:
     """cells with _weight, of sum 1 or total, whose sums over each margin's values are the target shares as nearly as `rounds` get them.
 
-    Rows that differ in the columns apart are raked by themselves; no weight is above most, where that isn't null.
+    Rows that differ in the columns apart are raked by themselves, those that don't in one task; no weight is above most, where that isn't null.
     """
     out = cells
     for i, (margin, shares) in enumerate(targets.items()):
         out = out.join(shares.select(F.col("value").alias(f"_value{i}"), F.col("share").alias(f"_share{i}")), F.col(margin).eqNullSafe(F.col(f"_value{i}")), "left").drop(f"_value{i}")
     out = out.withColumn("_weight", F.col(weight).cast("double"))
+    if apart:  # then no window has to deal out its rows anew
+        out = out.repartition(*apart)
     held = F.col("_weight") if most is None else F.least("_weight", most)
     total = F.lit(1.0) if total is None else total
     for _ in range(rounds):

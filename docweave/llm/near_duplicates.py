@@ -450,6 +450,7 @@ def components(edges: DataFrame) -> DataFrame:
         spread = large.join(m, "u")
         small = spread.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = stored(small)
+        released(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -605,3 +605,19 @@ def test_conflicting_labels_are_settled(spark, monkeypatch):
         labels = spark.createDataFrame([(i, q) for i in ids for q in (0, 1)][::order], "doc_id long, quality int").repartition(5)
         quality_cnn.fit(docs(spark, [(i, f"text {i}") for i in ids]), labels)
     assert seen[0] == seen[1] and {q for _, q in seen[0]} == {0}
+
+
+def test_raking_side_by_side_deals_its_rows_out_once(spark):
+    cells = spark.createDataFrame([(s, a, b, 1.0 + s) for s in range(3) for a in "xy" for b in "uvw"], "_step int, a string, b string, _has double")
+    targets = {m: mixing.softened(cells, m, weight="_has") for m in "ab"}
+    made = mixing.raked(cells, targets, "_has", 5, ("_step",))
+    assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(_step") == 1
+    sums = made.groupBy("_step", "b").agg({"_weight": "sum"}).collect()
+    assert len(sums) == 9 and all(abs(r["sum(_weight)"] - 1 / 3) < 1e-9 for r in sums)
+
+
+def test_pipeline_hands_texts_over_in_small_batches(spark):
+    import corpus_pipeline
+
+    corpus_pipeline.near_copies(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 1 << 23
